@@ -153,6 +153,7 @@ def map_values(values: DataFrame, forms: DataFrame, t: float = SIMILARITY) -> Da
     letters = F.length(F.replace("v", F.lit(" "), F.lit("")))
     edits_allowed = F.when(letters < 5, 0).when(letters < 12, 1).when(letters < 24, 2).otherwise(3)
     exact = exact.where(F.greatest(F.size("vp"), F.size("fp")) - shared <= 3 * edits_allowed).drop("vp", "fp")
+    exact = cut(exact.select("v", "f", "ord", "similarity"))  # else the spelling check would run before the filters
     near = exact.withColumn("edits", _distance("v", "f")).where("edits < 9")
     # As many edits as may be are allowed, but a form that is spelt like the value goes before all others.
     best = near.groupBy("v").agg(F.min_by(F.struct("ord", F.col("f").alias("form"), "similarity", "edits"), F.struct("edits", -F.col("similarity"), "ord")).alias("b"))
