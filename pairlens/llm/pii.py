@@ -32,7 +32,7 @@ THRESHOLD = 0.5
 
 _L = r"[^\W\d_]"
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŽČ]"
-_EMAIL = re.compile(r"(?<![\w.+-])[\w.+%-]+ ?(?:@|[\[(] ?at ?[\])]) ?[\w-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[\w-]+)+", re.I)
+_EMAIL = re.compile(r"(?<![\w.+-])[\w.+%-]+ ?(?:@|[\[(] ?at ?[\])]) ?[\w-]+(?:\.[\w-]+| ?[\[(] ?dot ?[\])] ?[\w-]+)+", re.I)
 # How telephone and identity numbers are written.
 _PHONES = (
     r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}",
