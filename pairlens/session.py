@@ -42,3 +42,9 @@ def cut(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has no more than ``limit`` rows; reads no further than that."""
     return df.limit(limit + 1).count() <= limit
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
