@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import at_most, cut
+from ..session import at_most, cut, spread
 
 PASSAGE_WORDS = 28
 CHANGED = 0.1
@@ -183,28 +183,56 @@ def _costs(item: Reading, part: str, doc_starts: np.ndarray, chain: list[tuple[i
 
 
 def _terms(df: DataFrame, key: str, text: str, keep: frozenset[str] | None) -> DataFrame:
-    """Postings of a table of texts: ``key, term, places``."""
+    """Postings of a table of texts, kept by text: ``key, postings`` with the places of each term."""
     kind = df.schema[key].dataType.simpleString()
 
     def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at: list[int] = []
-            terms: list[str] = []
-            places: list[list[int]] = []
-            for row, t in enumerate(batch.column(1).to_pylist()):
-                if not t:
-                    continue
-                r = read(t)
+            sizes, terms, lengths, places = [], [], [], []
+            for t in batch.column(1).to_pylist():
+                r = read(t or "")
                 found: dict[str, list[int]] = {}
                 for w, p in zip(r.words, r.starts):
                     if keep is None or w in keep:
                         found.setdefault(w, []).append(p)
-                at += [row] * len(found)
+                sizes.append(len(found))
                 terms += found
-                places += found.values()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=[key, "term", "places"])
+                for x in found.values():
+                    lengths.append(len(x))
+                    places += x
+            offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
+            inner = pa.ListArray.from_arrays(offsets(lengths), pa.array(places, pa.int32()))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), inner], names=["term", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets(sizes), pairs)], names=[key, "postings"])
 
-    return df.select(key, text).mapInArrow(posts, f"`{key}` {kind}, term string, places array<int>")
+    return df.select(key, text).mapInArrow(posts, f"`{key}` {kind}, postings array<struct<term:string,places:array<int>>>")
+
+
+def _agreements(met: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], agreeing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items with ``agreeing`` terms or more on one relative place of a text, and the bounds of those places.
+
+    ``met`` has the probe, items and places, of each probed term and the term's positions; these are set off
+    against the places; a shift falls into two bands of width ``BAND`` that overlap by half.
+    """
+    items, places, shifts = [], [], []
+    for probe, at in met:
+        at, n = at.astype(np.int64), len(probe[0])
+        items.append(np.tile(probe[0], len(at)))
+        places.append(np.tile(probe[1], len(at)))
+        shifts.append(np.repeat(at, n) - places[-1])
+    if not items:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    item, place, shift = np.concatenate(items), np.concatenate(places), np.concatenate(shifts)
+    band = np.concatenate([shift // BAND * 2, (shift + BAND // 2) // BAND * 2 + 1]) + (1 << 23)
+    item, place, shift = np.tile(item, 2), np.tile(place, 2), np.tile(shift, 2)
+    group = item << 24 | band
+    order = np.lexsort((place, group))
+    group, place, shift = group[order], place[order], shift[order]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (place[1:] != place[:-1])])
+    enough = np.add.reduceat(new.astype(np.int64), starts) >= agreeing
+    return (group[starts] >> 24)[enough], np.minimum.reduceat(shift, starts)[enough], np.maximum.reduceat(shift, starts)[enough]
 
 
 def _rare_terms(found: pd.DataFrame, window: int, rare: int) -> pd.DataFrame:
@@ -219,6 +247,50 @@ def _rare_terms(found: pd.DataFrame, window: int, rare: int) -> pd.DataFrame:
     return found.iloc[sorted(chosen)][["item", "term", "place"]]
 
 
+def _candidates_by_broadcast(postings: DataFrame, probes: DataFrame, agreeing: int) -> DataFrame:
+    """``doc, found``: the probes, within ``ITEM_LETTERS``, go to the postings, which stay where they are."""
+    item_type = probes.schema["item"].dataType
+    rows = probes.collect()
+    known = sorted({r["item"] for r in rows})
+    number = {i: n for n, i in enumerate(known)}
+    by_term: dict[str, list[tuple[int, int]]] = {}
+    for r in rows:
+        by_term.setdefault(r["term"], []).append((number[r["item"]], r["place"]))
+    shared = postings.sparkSession.sparkContext.broadcast((known, {t: tuple(np.array(c, np.int64) for c in zip(*x)) for t, x in by_term.items()}))
+    arrow = to_arrow_type(item_type)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms = shared.value
+        kind = pa.list_(pa.struct([("item", arrow), ("lo", pa.int32()), ("hi", pa.int32())]))
+        for batch in batches:
+            at, found = [], []
+            column = batch.column(1)
+            ends, flat = column.offsets.to_numpy(), column.values
+            words, lists = flat.field(0).to_pylist(), flat.field(1)
+            cuts, numbers = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for row in range(len(batch)):
+                own = range(ends[row], ends[row + 1])
+                p = [(probe, numbers[cuts[k] : cuts[k + 1]]) for k in own if (probe := terms.get(words[k])) is not None]
+                item, lo, hi = _agreements(p, agreeing)
+                if len(item):
+                    at.append(row)
+                    found.append([{"item": names[i], "lo": a, "hi": b} for i, a, b in zip(item.tolist(), lo.tolist(), hi.tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, kind)], names=["doc", "found"])
+
+    doc, item = postings.schema["doc"].dataType.simpleString(), item_type.simpleString()
+    return postings.mapInArrow(meet, f"doc {doc}, found array<struct<item:{item},lo:int,hi:int>>")
+
+
+def _candidates_by_join(long: DataFrame, probes: DataFrame, agreeing: int) -> DataFrame:
+    """The same for held-out sets of any size: postings and probes meet by a shuffle on the term."""
+    hits = long.join(probes, "term").select("doc", "item", "place", F.explode("places").alias("at"))
+    hits = hits.select("doc", "item", "place", (F.col("at") - F.col("place")).alias("shift"))
+    bands = hits.withColumn("band", F.explode(F.array(F.floor(F.col("shift") / BAND) * 2, F.floor((F.col("shift") + BAND // 2) / BAND) * 2 + 1)))
+    per_place = bands.groupBy("doc", "item", "band", "place").agg(F.min("shift").alias("lo"), F.max("shift").alias("hi"))
+    agreed = per_place.groupBy("doc", "item", "band").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("n") >= agreeing)
+    return agreed.groupBy("doc").agg(F.collect_set(F.struct("item", "lo", "hi")).alias("found"))
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str = "text", item_text: str = "text", least: int = PASSAGE_WORDS, most: float = CHANGED, rare: int = RARE_TERMS, agreeing: int = AGREEING
 ) -> DataFrame:
@@ -232,29 +304,24 @@ def find_leaks(
     """
     docs = docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("doc_text")).where(F.length("doc_text") > 0)
     items = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).where(F.length("item_text") > 0)
-    places = cut(_terms(items, "item", "item_text", None).select("item", "term", F.explode("places").alias("place")))
+    places = cut(_terms(items, "item", "item_text", None).select("item", F.explode("postings").alias("p")).select("item", "p.term", F.explode("p.places").alias("place")))
     vocabulary = places.select("term").distinct()
     small = at_most(vocabulary, VOCABULARY_ROWS)
     keep = frozenset(r[0] for r in vocabulary.collect()) if small else None
-    postings = _terms(docs, "doc", "doc_text", keep)
-    if not small:
-        postings = postings.join(vocabulary, "term", "left_semi")
-    postings = cut(postings)
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    postings = cut(_terms(spread(docs), "doc", "doc_text", keep))
+    long = postings.select("doc", F.explode("postings").alias("p")).select("doc", "p.term", "p.places")
+    frequency = long.groupBy("term").agg(F.count("*").alias("df"))
     schema = places.select("item", "term", "place").schema
-    probes = places.join(frequency, "term", "left").fillna(0, ["df"]).groupBy("item").applyInPandas(lambda p: _rare_terms(p, least, rare), schema)
-    hits = postings.join(probes, "term").select("doc", "item", "place", F.explode("places").alias("at"))
-    hits = hits.select("doc", "item", "place", (F.col("at") - F.col("place")).alias("shift"))
-    bands = hits.withColumn("band", F.explode(F.array(F.floor(F.col("shift") / BAND) * 2, F.floor((F.col("shift") + BAND // 2) / BAND) * 2 + 1)))
-    # Hits of a band are first reduced to one per place, so a term that stands often in a text counts once.
-    agreed = bands.groupBy("doc", "item", "band").agg(F.countDistinct("place").alias("n"), F.min("shift").alias("lo"), F.max("shift").alias("hi")).where(F.col("n") >= agreeing)
+    probes = cut(places.join(frequency, "term", "left").fillna(0, ["df"]).groupBy("item").applyInPandas(lambda p: _rare_terms(p, least, rare), schema))
+    size = items.agg(F.sum(F.length("item_text")).alias("all"), F.max(F.length("item_text")).alias("most"), F.count("*").alias("n")).first()
+    letters = size["all"] or 0
+    few = small and letters <= ITEM_LETTERS and size["n"] < 1 << 20
+    listed = _candidates_by_broadcast(postings, probes, agreeing) if few else _candidates_by_join(long, probes, agreeing)
     # One row per document: its candidates are bounded by its own words, and its text is shuffled once.
-    listed = agreed.groupBy("doc").agg(F.collect_set(F.struct("item", "lo", "hi")).alias("found"))
-    letters = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     slack = 4 * BAND
     item_type = to_arrow_type(items.schema["item"].dataType)
     names = f"`{doc_key}` {docs.schema['doc'].dataType.simpleString()}, `{item_key}` {items.schema['item'].dataType.simpleString()}"
-    if letters <= ITEM_LETTERS:
+    if few:
         texts = items.sparkSession.sparkContext.broadcast([(r["item"], r["item_text"]) for r in items.collect()])
         pairs = listed.join(docs, "doc").select("doc", "found", "doc_text", F.lit(None).cast("string").alias("item_text"))
     else:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .tokens import BYTE_BPE, TOKENIZER_DIR, BlockEncoder, split_words, vocabulary
 
 MAX_TOKENS = 2048
@@ -162,4 +163,4 @@ def cut_corpus(
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=[key, "piece_no", "n_pieces", "start_pos", "end_pos", "overlap_chars", "n_tokens", "piece"])
 
     schema = f"`{key}` {kind}, piece_no int, n_pieces int, start_pos int, end_pos int, overlap_chars int, n_tokens int, piece string"
-    return df.select(key, text).mapInArrow(cut, schema)
+    return spread(df.select(key, text)).mapInArrow(cut, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .truncated import fit
 
 TYPES = ("email", "phone", "identity", "address", "name")
@@ -302,7 +302,7 @@ def find_personal(df: DataFrame, keys: list[str], text: str, train_spans: int =
     ``train_spans`` candidates spread over all rows by a hash; labeler counts cover all of them.
     """
     spark = df.sparkSession
-    rows = df.select(*keys, F.col(text).alias("_text")).where(F.length("_text") > 0)
+    rows = spread(df.select(*keys, F.col(text).alias("_text")).where(F.length("_text") > 0))
     lex = spark.sparkContext.broadcast(learn_lexicon(rows, "_text"))
     n = len(keys)
 

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: Where the vocabulary files lie; a parameter of every function here.
 TOKENIZER_DIR = os.environ.get("PAIRLENS_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -188,7 +190,7 @@ def frequent_words(df: DataFrame, text: str, limit: int = HEAD_WORDS) -> DataFra
                     n.clear()
         yield out()
 
-    counted = df.select(text).mapInArrow(count, "word string, n long").where(F.octet_length("word") <= HEAD_BYTES)
+    counted = spread(df.select(text)).mapInArrow(count, "word string, n long").where(F.octet_length("word") <= HEAD_BYTES)
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(limit)
 
 
@@ -224,4 +226,4 @@ def encode_corpus(df: DataFrame, text: str = "text", ids: str = "ids", folder: s
                 at += len(block)
                 yield pa.RecordBatch.from_arrays([*own.columns, column], names=[*kept, ids])
 
-    return df.select(*kept).mapInArrow(encode, schema)
+    return spread(df.select(*kept)).mapInArrow(encode, schema)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Rows the classifier is fitted on, at most, and its number of weights.
 TRAIN_ROWS = 20_000
 BITS = 18
@@ -236,7 +238,7 @@ def score_truncation(df: DataFrame, key: str, text: str, source: str, structured
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, p, pa.array([x >= THRESHOLD for x in ps], pa.bool_())], names=[key, "source", "n_chars", "p_cut", "truncated"])
 
     kinds = [base.schema[c].dataType.simpleString() for c in ("key", "source")]
-    return with_limit.select("key", "source", "text", "most").mapInArrow(score, f"`{key}` {kinds[0]}, source {kinds[1]}, n_chars int, p_cut double, truncated boolean")
+    return spread(with_limit.select("key", "source", "text", "most")).mapInArrow(score, f"`{key}` {kinds[0]}, source {kinds[1]}, n_chars int, p_cut double, truncated boolean")
 
 
 def truncation_report(scored: DataFrame) -> DataFrame:
