@@ -85,9 +85,10 @@ def _long_enough(words: Sequence[str], most: float, least: int, broken: np.ndarr
     total = np.concatenate([[0.0], np.cumsum(broken + cost)])
     g = total - most * np.arange(n + 1)
     # Words put in just before the first word of a run belong to no run that starts there.
-    starts = g[:-1] + cost
+    # A run begins and ends with words that are there.
+    starts = np.where(broken > 0, -np.inf, g[:-1] + cost)
     best = np.maximum.accumulate(starts)
-    return bool(np.any(g[least:] <= best[: n + 1 - least] + 1e-9))
+    return bool(np.any((g[least:] <= best[: n + 1 - least] + 1e-9) & (broken[least - 1 :] == 0)))
 
 
 def holds_passage(item: Reading, doc: Reading, lo: int, hi: int, least: int = PASSAGE_WORDS, most: float = CHANGED, grams: dict[str, list[int]] | None = None) -> bool:

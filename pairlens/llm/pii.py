@@ -267,6 +267,7 @@ def learn_lexicon(df: DataFrame, text: str, limit: int = LEXICON_WORDS) -> Lexic
         n: dict[str, list[int]] = {}
         for batch in batches:
             for t in batch.column(0).to_pylist():
+                t = _EMAIL.sub(" ", t)  # small letters in an address say nothing about a word
                 for m in _WORD.finditer(t):
                     own = n.setdefault(m[0].lower(), [0, 0, 0])
                     if m[0][0].islower():
