@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -41,6 +42,7 @@ ITEM_LETTERS = 20_000_000
 #: Part of the letters of a passage that stands in runs of ``_GRAM`` letters or more, at least, if nine words in ten are the item's.
 SHARED = 0.4
 _GRAM = 8
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
 
 
@@ -51,12 +53,45 @@ class Reading(NamedTuple):
     words: list[str]
     starts: list[int]
 
-    def grams(self) -> dict[str, list[int]]:
-        """Places of each run of ``_GRAM`` letters."""
-        found: dict[str, list[int]] = {}
-        for i in range(len(self.letters) - _GRAM + 1):
-            found.setdefault(self.letters[i : i + _GRAM], []).append(i)
-        return found
+
+class Grams(NamedTuple):
+    """Hashes of all runs of ``_GRAM`` letters of a text, and their sorted order where the text is searched for."""
+
+    hashes: np.ndarray
+    sorted: np.ndarray
+    places: np.ndarray
+
+
+def grams(letters: str, searched: bool = False) -> Grams:
+    codes = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(codes) - _GRAM + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(_GRAM):
+        h = h * _BASE + codes[k : k + n]
+    if not searched:
+        return Grams(h, h, h)
+    order = np.argsort(h, kind="stable")
+    return Grams(h, h[order], order)
+
+
+def _runs(item: Grams, part: np.ndarray) -> list[tuple[int, int, int]]:
+    """Longest common runs of letters: place in the item, place in the part of a document, length."""
+    if not len(item.sorted):
+        return []
+    low = np.searchsorted(item.sorted, part)
+    j = np.flatnonzero(item.sorted[np.minimum(low, len(item.sorted) - 1)] == part)
+    if not len(j):
+        return []
+    low = low[j]
+    n = np.searchsorted(item.sorted, part[j], "right") - low
+    first = np.repeat(np.cumsum(n) - n, n)
+    i = item.places[np.repeat(low, n) + np.arange(int(n.sum())) - first]
+    j = np.repeat(j, n)
+    order = np.lexsort((j, j - i))
+    i, j = i[order], j[order]
+    new = np.flatnonzero(np.concatenate([[True], (j[1:] != j[:-1] + 1) | (i[1:] != i[:-1] + 1)]))
+    lengths = np.diff(np.concatenate([new, [len(j)]])) + _GRAM - 1
+    return list(zip(i[new].tolist(), j[new].tolist(), lengths.tolist()))
 
 
 def read(text: str) -> Reading:
@@ -91,7 +126,7 @@ def _long_enough(words: Sequence[str], most: float, least: int, broken: np.ndarr
     return bool(np.any((g[least:] <= best[: n + 1 - least] + 1e-9) & (broken[least - 1 :] == 0)))
 
 
-def holds_passage(item: Reading, doc: Reading, lo: int, hi: int, least: int = PASSAGE_WORDS, most: float = CHANGED, grams: dict[str, list[int]] | None = None) -> bool:
+def holds_passage(item: Reading, doc: Reading, lo: int, hi: int, least: int = PASSAGE_WORDS, most: float = CHANGED, item_grams: Grams | None = None, doc_grams: Grams | None = None) -> bool:
     """Whether the document holds ``least`` consecutive words of the item, with a share of ``most`` changed, dropped or added.
 
     ``lo`` and ``hi`` bound the item's possible beginnings in the document's letters.
@@ -101,28 +136,18 @@ def holds_passage(item: Reading, doc: Reading, lo: int, hi: int, least: int = PA
         return False
     begin, end = max(0, lo), min(len(doc.letters), hi + len(item.letters))
     part = doc.letters[begin:end]
-    grams = grams or item.grams()
-    # Longest common runs of letters, by relative place.
-    runs: list[tuple[int, int, int]] = []
-    last: dict[int, int] = {}
-    for j in range(len(part) - _GRAM + 1):
-        for i in grams.get(part[j : j + _GRAM], ()):
-            if last.get(j - i, -1) > i:
-                continue
-            k = _GRAM
-            while i + k < len(item.letters) and j + k < len(part) and item.letters[i + k] == part[j + k]:
-                k += 1
-            last[j - i] = i + k - _GRAM + 1
-            runs.append((i, j, k))
+    hashes = (doc_grams or grams(doc.letters)).hashes[begin : max(begin, end - _GRAM + 1)]
+    runs = _runs(item_grams or grams(item.letters, True), hashes)
     if not runs:
         return False
-    doc_starts = np.asarray(doc.starts) - begin
     item_starts = np.array([*item.starts, len(item.letters)])
-    shortest = int((item_starts[least:] - item_starts[:-least]).min())
+    needed = SHARED * int((item_starts[least:] - item_starts[:-least]).min())
+    if sum(k for _, _, k in runs) < needed:
+        return False
     for chain in _chains(runs):
-        if sum(k for _, _, k in chain) < SHARED * shortest:
+        if sum(k for _, _, k in chain) < needed:
             continue
-        broken, cost = _costs(item, part, doc_starts, chain)
+        broken, cost = _costs(item, part, doc.starts, begin, chain, item_starts)
         if _long_enough(item.words, most, least, broken, cost):
             return True
     return False
@@ -152,23 +177,26 @@ def _chains(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, i
         yield chain[::-1]
 
 
-def _costs(item: Reading, part: str, doc_starts: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Per word of the item: 1 if the chain lacks it, and the number of words put in before it."""
+def _costs(item: Reading, part: str, doc_starts: list[int], begin: int, chain: list[tuple[int, int, int]], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per word of the item: 1 if the chain lacks it, and the number of words put in before it.
+
+    ``part`` begins at the letter ``begin`` of the document, whose words begin at ``doc_starts``.
+    """
     n = len(item.words)
-    starts = np.array([*item.starts, len(item.letters)])
+    starts = item.starts
     covered = np.zeros(len(item.letters), bool)
     for i, _, k in chain:
         covered[i : i + k] = True
     so_far = np.concatenate([[0], np.cumsum(covered)])
-    whole = so_far[starts[1:]] - so_far[starts[:-1]] == np.diff(starts)
+    whole = so_far[ends[1:]] - so_far[ends[:-1]] == np.diff(ends)
     broken, cost = (~whole).astype(float), np.zeros(n)
     for (a, b, m), (i, j, _) in zip(chain, chain[1:]):
-        first, after = int(np.searchsorted(starts, a + m, "right")) - 1, int(np.searchsorted(starts, i))
-        if first < n and starts[first] == a + m or whole[min(first, n - 1)]:
-            first = int(np.searchsorted(starts, a + m))
+        first, after = bisect_right(starts, a + m) - 1, bisect_left(starts, i)
+        if starts[first] == a + m or whole[first]:
+            first = bisect_left(starts, a + m)
         lacking = [w for w in range(first, min(after, n)) if not whole[w]]
-        gap_from = b + m - max(0, a + m - int(starts[lacking[0]])) if lacking else b + m
-        gap_to = j + (int(starts[lacking[-1] + 1]) - i if lacking and starts[lacking[-1] + 1] > i else 0)
+        gap_from = b + m - max(0, a + m - starts[lacking[0]]) if lacking else b + m
+        gap_to = j + (max(0, int(ends[lacking[-1] + 1]) - i) if lacking else 0)
         gap = part[max(0, gap_from) : max(gap_from, gap_to)]
         at, same = 0, 0
         for w in lacking:
@@ -176,7 +204,7 @@ def _costs(item: Reading, part: str, doc_starts: np.ndarray, chain: list[tuple[i
             if p >= 0:
                 at, same = p + len(item.words[w]), same + 1
                 broken[w] = 0
-        put_in = int(np.searchsorted(doc_starts, gap_to)) - int(np.searchsorted(doc_starts, gap_from)) - same
+        put_in = bisect_left(doc_starts, gap_to + begin) - bisect_left(doc_starts, gap_from + begin) - same
         more = put_in - (len(lacking) - same)
         if more > 0 and after < n:
             cost[after] += more
@@ -334,19 +362,20 @@ def find_leaks(
         held: dict = {}
         for i, t in texts.value if texts else ():
             held.setdefault(i, []).append(t)
-        known: dict[str, tuple[Reading, dict]] = {}
+        known: dict[str, tuple[Reading, Grams]] = {}
 
-        def of(t: str) -> tuple[Reading, dict]:
+        def of(t: str) -> tuple[Reading, Grams]:
             if t not in known:
                 if len(known) > 20_000:
                     known.clear()
-                known[t] = ((r := read(t)), r.grams())
+                known[t] = ((r := read(t)), grams(r.letters, True))
             return known[t]
 
         for batch in batches:
             at, found = [], []
             for row, (fs, dt, it) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
                 doc = read(dt)
+                doc_grams = grams(doc.letters)
                 spans: dict = {}
                 for f in sorted(fs, key=lambda f: f["lo"]):
                     lo, hi = f["lo"] - slack, f["hi"] + slack
@@ -357,8 +386,8 @@ def find_leaks(
                         own.append([lo, hi])
                 for i, own in spans.items():
                     for t in held[i] if texts else [it]:
-                        item, grams = of(t)
-                        if any(holds_passage(item, doc, lo, hi, least, most, grams) for lo, hi in own):
+                        item, item_grams = of(t)
+                        if any(holds_passage(item, doc, lo, hi, least, most, item_grams, doc_grams) for lo, hi in own):
                             at.append(row)
                             found.append(i)
                             break
