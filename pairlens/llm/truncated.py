@@ -95,6 +95,7 @@ def features(text: str, limit: int, structured: bool) -> list[int]:
             w = ["<"] * 4 + words
             kind = "..." if body.endswith(("...", "…")) else "." if stopped else ("_" if rest[-1:].isspace() else "x")
             start = " ".join(w[4:6])
+            names.append(f"kind={kind}")
             for k in (1, 2, 3, 4):
                 names.append(f"w{k}={kind}:{' '.join(w[-k:])}")
             names += [f"s1={kind}:{start}|{w[-1]}", f"s2={kind}:{start}|{' '.join(w[-2:])}", f"s0={kind}:{' '.join(w[4:5])}|{' '.join(w[-3:])}", f"n={kind}:{min(len(words), 12)}", f"comma={kind}:{start}|{sentence.count(',')}|{w[-1]}"]
