@@ -67,7 +67,7 @@ _LOWER = re.compile(rf"(?<!\w)(?=({_L}+) ({_L}+(?:-{_L}+)?))")
 _TOLD = re.compile(rf"(?:\bpt |\bw/ |(?<= )/ )([a-zß-öø-ÿ]{{3,}}) ([a-zß-öø-ÿ]{{3,}}(?:-{_L}+)?)(?= w/|,|\n|$| [A-Z]|\.)")
 # Words that stand before or after what they announce.
 TITLES = frozenset("patient pt name dr mr mrs ms miss prof professor doctor nurse sister daughter son husband wife mother father brother partner kin carer radiographer radiologist resident consultant registrar colleague phoned told under by from with spouse uncle aunt neighbour".split())
-STRONG = frozenset("patient name dr mr mrs ms miss prof nurse daughter son husband wife mother father brother".split())
+STRONG = frozenset("kin patient name dr mr mrs ms miss prof nurse daughter son husband wife mother father brother".split())
 PHONE_CUES = frozenset("tel telephone phone phoned call ring mobile cell fax bleep pager callback back reached contact office on at or".split())
 IDENTITY_CUES = frozenset("id mrn record no number passport national insurance security wristband read hosp nhs ssn patient-id identity licence nr social".split())
 OTHER_CUES = frozenset("protocol index product serial study dated date detector dose exposure accession series version bed bay measured of model lot batch software".split())
@@ -192,7 +192,7 @@ def candidates(text: str, lex: Lexicon) -> list[Span]:
             if t is not None and not good and free(t.start(), t.end()) and t[0].lower() not in LABELS:
                 # An ordinary word may be a surname: after a title, or beside a name.
                 titled = _cue(_words_before(text, t.start(), 1), STRONG) and not sentence_start(text, t.start())
-                good = titled or bool(run) and text[run[-1].end() : t.start()] in (" ", ", ") and not sentence_start(text, t.start()) and run[-1][0].lower() in lex.names
+                good = titled or bool(run) and text[run[-1].end() : t.start()] in (" ", ", ") and not sentence_start(text, t.start()) and (run[-1][0].lower() in lex.names or len(run[-1][0]) == 2)
             if good and (not run or text[run[-1].end() : t.start()] in (" ", ", ", " van ", " von ", " de ", " del ", " da ", " di ")) and sum(text[x.end() : y.start()] == ", " for x, y in zip([*run, t], [*run, t][1:])) <= 1:
                 run.append(t)
                 continue
