@@ -78,6 +78,7 @@ def features(text: str, limit: int, structured: bool) -> list[int]:
         shown = text.rstrip()
         names.append(f"state={state}:{shown[-1:]}:{'{' in shown}")
         if state != "closed":
+            names.append(f"brace={state}:{text.rfind('}') > text.rfind(chr(34) + ':')}")
             names.append(f"bracket={state}:{shown[-1:] == '}'}:{re.sub('[0-9]+', '9', shown[-40:].split(',')[-1])[:40]}")
     if state == "closed":
         tail = re.sub("[0-9]+", "9", rest.strip().lower())
