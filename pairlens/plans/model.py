@@ -111,7 +111,9 @@ def ask(prompts: DataFrame, keys: list[str], client: ChatClient, max_tokens: int
 
 
 def stage(prompts: DataFrame, keys: list[str], client: ChatClient, valid: Callable[[DataFrame], DataFrame], max_tokens: int = 5000, temperature: float = 0.1) -> DataFrame:
-    """Asks, checks and asks once more for what failed: ``keys, answer, status, error``.
+    """Asks, checks and asks once more for what failed, with the answer that failed: ``keys, answer, status, error``.
+
+    A prompt is a line that names the task, then a JSON object.
 
     ``valid`` adds ``answer`` (null where the raw answer breaks the rules) to
     ``keys, prompt, raw``. Status is ok, repaired or failed; nothing is raised.
@@ -120,7 +122,9 @@ def stage(prompts: DataFrame, keys: list[str], client: ChatClient, valid: Callab
     good = first.where("answer is not null").withColumn("status", F.lit("ok"))
     bad = first.where("answer is null")
     head = F.substring_index("prompt", "\n", 1)
-    again = bad.withColumn("prompt", F.concat(head, F.lit("\n"), F.expr("substring(prompt, length(substring_index(prompt, '\n', 1)) + 2)")))
+    body = F.expr("substring(prompt, length(substring_index(prompt, '\n', 1)) + 3)")  # after the task's line and the opening brace
+    told = F.concat(F.lit('{"instruction":"The previous answer breaks the rules; answer again in full.","previous_answer":'), F.to_json(F.array(F.coalesce("raw", F.lit("")))), F.lit(","))
+    again = bad.withColumn("prompt", F.concat(head, F.lit("\n"), told, body))
     second = valid(ask(again, keys, client, max_tokens, temperature))
     status = F.when(F.col("answer").isNotNull(), "repaired").otherwise("failed")
     repaired = second.withColumn("status", status)

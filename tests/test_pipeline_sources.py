@@ -19,6 +19,8 @@ class Broken(RuleBasedClient):
         answer = super().complete(messages, max_tokens, temperature)
         if "always wrong" in messages[-1]["content"]:
             return answer.replace("POSITIVE", "MAYBE").replace("NEGATIVE", "MAYBE")
+        if "wrong once" in messages[-1]["content"] and "previous_answer" not in messages[-1]["content"]:
+            return answer.replace("POSITIVE", "MAYBE").replace("NEGATIVE", "MAYBE")
         if "raise" in messages[-1]["content"]:
             raise OSError("down")
         return answer
@@ -31,10 +33,10 @@ def taxonomy(spark):
 
 def test_whole_evaluation(spark, taxonomy):
     ref = "There is a nodule in the left lung. No effusion."
-    rows = [("s", "same", ref, ref), ("s", "other", ref, "There is a nodule in the right lung. Cardiomegaly is seen."), ("s", "blank", ref, "  "), ("s", "null", None, None), ("s", "bad", ref, "nodule always wrong"), ("s", "down", ref, "nodule raise")]
+    rows = [("s", "same", ref, ref), ("s", "other", ref, "There is a nodule in the right lung. Cardiomegaly is seen."), ("s", "blank", ref, "  "), ("s", "null", None, None), ("s", "bad", ref, "nodule always wrong"), ("s", "down", ref, "nodule raise"), ("s", "mended", ref, "nodule wrong once")]
     found, scores = evaluate_pairs(spark.createDataFrame(rows, PAIRS), taxonomy, Broken())
     s = {r["candidate_reporter"]: r for r in scores.collect()}
-    assert len(s) == 6 and s["same"]["pair_score"] == 0 and s["other"]["pair_score"] > 0
+    assert len(s) == 7 and s["mended"]["status"] == "repaired" and s["same"]["pair_score"] == 0 and s["other"]["pair_score"] > 0
     assert [s[k]["status"] for k in ("same", "other", "blank", "null", "bad", "down")] == ["ok", "ok", "ok", "ok", "failed", "failed"]
     kinds = {(r["entity"], r["discrepancy_type"]) for r in found.where("candidate_reporter = 'other'").collect()}
     assert kinds == {("Lung :: Nodule", None), ("Pleura :: Effusion", "missing_in_candidate"), ("Heart :: Cardiomegaly", "extra_in_candidate")}
