@@ -158,13 +158,23 @@ def _chains(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, i
     runs = sorted(runs)
     best = [k for _, _, k in runs]
     before = [-1] * len(runs)
+    # All runs that may still be followed, by bands of ``BAND`` drifts. Runs of one drift are apart, so a band never holds many.
+    near: dict[int, list[tuple[int, int, int, int, int]]] = {}
     for y, (i, j, k) in enumerate(runs):
-        for x in range(max(0, y - 40), y):
-            a, b, m = runs[x]
-            if a + m <= i + 3 and b + m <= j + 3 and abs((j - i) - (b - a)) <= BAND and i - a - m <= BAND and a < i and b < j:
-                score = best[x] + k - abs((j - i) - (b - a)) * 0.3
-                if score > best[y]:
-                    best[y], before[y] = score, x
+        drift = j - i
+        for band in range(drift // BAND - 1, drift // BAND + 2):
+            held = near.get(band)
+            if not held:
+                continue
+            if any(end + BAND < i for end, *_ in held):
+                held = near[band] = [x for x in held if x[0] + BAND >= i]
+            for end, a, b, m, x in held:
+                off = abs(drift - (b - a))
+                if end <= i + 3 and b + m <= j + 3 and off <= BAND and a < i and b < j:
+                    score = best[x] + k - off * 0.3
+                    if score > best[y]:
+                        best[y], before[y] = score, x
+        near.setdefault(drift // BAND, []).append((i + k, i, j, k, y))
     used: set[int] = set()
     for y in sorted(range(len(runs)), key=lambda q: -best[q]):
         if y in used:

@@ -53,6 +53,30 @@ def test_passages_and_shorter_quotes(seed):
     assert not holds(" ".join(item), " ".join(text(rng, 200)))
 
 
+@pytest.mark.parametrize("copies", [2, 41, 150])
+def test_many_copies_of_a_changed_passage(copies):
+    rng = random.Random(3)
+    item = text(rng, 60)
+    passage = item[10:40]
+    passage[15] = "qqqqq"
+    assert holds(" ".join(item), " ".join([*passage, "0"] * copies))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_take_the_best_of_all_runs_before(seed):
+    rng = random.Random(seed)
+    runs = [(rng.randrange(0, 400), rng.randrange(0, 400), rng.randrange(8, 30)) for _ in range(600)]
+    ordered = sorted(set(runs))
+    best = {}
+    for i, j, k in ordered:
+        fits = [best[a, b, m] + k - abs(j - i - b + a) * 0.3 for a, b, m in best if a + m <= i + 3 and b + m <= j + 3 and abs(j - i - b + a) <= leaks.BAND and i - a - m <= leaks.BAND and a < i and b < j]
+        best[i, j, k] = max([k, *fits])
+    weight = lambda c: sum(k for _, _, k in c) - sum(abs(j - i - b + a) * 0.3 for (a, b, _), (i, j, _) in zip(c, c[1:]))
+    chains = list(leaks._chains(ordered))
+    assert set().union(*chains) == set(ordered)
+    assert all(weight(c) == pytest.approx(best[c[-1]]) for c in chains)
+
+
 @pytest.mark.parametrize("letters", [leaks.ITEM_LETTERS, 10])
 def test_find_leaks(spark, monkeypatch, letters):
     monkeypatch.setattr(leaks, "ITEM_LETTERS", letters)
