@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Labels 0, 1, ... up to this one; greater labels count as this one.
-TOP_LABEL = 4
 ROUNDS = 20
 #: Pseudo-counts of a rater's confusion matrix: for the right label and for each other one.
 SMOOTH_RIGHT, SMOOTH_OTHER = 2.0, 0.3
@@ -26,10 +24,10 @@ def _each(k: int) -> list[str]:
     return [f"c{i}" for i in range(k)]
 
 
-def rating_patterns(ratings: DataFrame, item: list[str], rater: str, label: str, top: int = TOP_LABEL) -> DataFrame:
+def rating_patterns(ratings: DataFrame, item: list[str], rater: str, label: str) -> DataFrame:
     """``pattern`` of every item: its raters, labels and how often each was given. ``ratings`` holds no redeliveries."""
     clean = ratings.dropna(subset=[*item, rater, label]).where(F.col(label) >= 0)
-    given = clean.groupBy(*item, F.col(rater).alias("rater"), F.least(F.col(label), F.lit(top)).cast("int").alias("label")).agg(F.count("*").cast("double").alias("n"))
+    given = clean.groupBy(*item, F.col(rater).alias("rater"), F.col(label).cast("int").alias("label")).agg(F.count("*").cast("double").alias("n"))
     return given.groupBy(*item).agg(F.array_sort(F.collect_list(F.struct("rater", "label", "n"))).alias("pattern"))
 
 
@@ -64,7 +62,7 @@ def _prior(posterior: DataFrame, k: int) -> Row:
     return posterior.agg(*[F.log((F.coalesce(F.sum(F.col("weight") * F.col(f"p{i}")), F.lit(0.0)) + 1.0) / F.coalesce(total, F.lit(float(k)))).alias(f"prior{i}") for i in range(k)]).first()
 
 
-def consensus(ratings: DataFrame, item: list[str], rater: str, label: str, top: int = TOP_LABEL, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def consensus(ratings: DataFrame, item: list[str], rater: str, label: str, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Labels of items and reliability of raters.
 
     Returns ``item columns, label, p_label, p_any, n_ratings`` (the most
@@ -74,11 +72,15 @@ def consensus(ratings: DataFrame, item: list[str], rater: str, label: str, top:
     Ratings with a null in item, rater or label, or a negative label, count
     nowhere. Of equally probable labels the smaller is taken. An item
     with a single rating is judged by the rater's reliability and the frequency of labels.
+    The labels are 0, 1 and every other that was given; the work grows with their number squared.
     """
-    k = top + 1
-    items = cut(rating_patterns(ratings, item, rater, label, top))
+    items = cut(rating_patterns(ratings, item, rater, label))
     patterns = cut(items.groupBy("pattern").agg(F.count("*").cast("double").alias("weight")).withColumn("pattern_id", F.xxhash64("pattern")))
-    long = cut(patterns.select("pattern_id", "weight", F.explode("pattern").alias("m")).select("pattern_id", "weight", "m.rater", "m.label", "m.n"))
+    given = sorted({0, 1} | {row[0] for row in patterns.select(F.explode("pattern.label")).distinct().collect()})
+    k = len(given)
+    # From here on a label is its place among those given; 0 stays 0.
+    place = (F.array_position(F.array(*[F.lit(x) for x in given]), F.col("m.label")) - 1).cast("int").alias("label")
+    long = cut(patterns.select("pattern_id", "weight", F.explode("pattern").alias("m")).select("pattern_id", "weight", "m.rater", place, "m.n"))
     # The first posterior is the share of each label among the ratings.
     share = long.groupBy("pattern_id", "weight").agg(*[(F.sum(F.when(F.col("label") == i, F.col("n")).otherwise(0.0)) / F.sum("n")).alias(f"p{i}") for i in range(k)], F.collect_list(F.struct("rater", "label", "n")).alias("members"))
     posterior = share
@@ -87,7 +89,7 @@ def consensus(ratings: DataFrame, item: list[str], rater: str, label: str, top:
         posterior = _posterior(long, _confusions(_expected(posterior, k), k), _prior(posterior, k), k)
     posterior = cut(posterior)
     best = F.greatest(*[F.col(f"p{i}") for i in range(k)])
-    chosen = reduce(lambda rest, i: F.when(F.col(f"p{i}") == F.col("p_label"), i).otherwise(rest), range(k - 1, -1, -1), F.lit(None).cast("int"))
+    chosen = reduce(lambda rest, i: F.when(F.col(f"p{i}") == F.col("p_label"), given[i]).otherwise(rest), range(k - 1, -1, -1), F.lit(None).cast("int"))
     labels = posterior.withColumn("p_label", best).select("pattern_id", chosen.alias("label"), "p_label", (F.lit(1.0) - F.col("p0")).alias("p_any"))
     n_ratings = F.aggregate("pattern", F.lit(0.0), lambda a, x: a + x["n"]).cast("long")
     per_item = items.withColumn("pattern_id", F.xxhash64("pattern")).withColumn("n_ratings", n_ratings).join(labels, "pattern_id").select(*item, "label", "p_label", "p_any", "n_ratings")

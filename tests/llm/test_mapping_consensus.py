@@ -91,6 +91,14 @@ def test_consensus_of_odd_tables(spark):
     assert items.collect() == [] and raters.collect() == []
 
 
+def test_consensus_keeps_large_labels_apart(spark):
+    rows = [(i, r, 5 if i % 2 else 9) for i in range(20) for r in range(3)] + [(i, 3, 9 if i % 2 else 5) for i in range(20)]
+    items, raters = consensus.consensus(spark.createDataFrame(rows, "item int, rater int, label int"), ["item"], "rater", "label", rounds=5)
+    assert {r["item"]: r["label"] for r in items.collect()} == {i: 5 if i % 2 else 9 for i in range(20)}
+    accuracy = {r["rater"]: r["accuracy"] for r in raters.collect()}
+    assert accuracy[0] > 0.9 and accuracy[3] < 0.1
+
+
 def test_agreement(spark):
     rows = [(1, 0), (1, 0), (2, 1), (2, 1), (3, 0), (3, 1), (4, 5)]
     a = consensus.agreement(spark.createDataFrame(rows, "item int, label int"), ["item"], "label").first()
