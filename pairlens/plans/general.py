@@ -79,7 +79,7 @@ def p4_loaded_findings(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_loaded_ratings(spark: SparkSession, d: str) -> DataFrame:
     r = rating_objects(spark, d).where("reason is null and record is not null")
-    return r.select("score_id", *[F.col(f"record.`{k}`").cast("double" if v != "text" else "string").alias(k.replace(" ", "_")) for k, v in RATING_KEYS.items() if v != "text"])
+    return r.select("score_id", *[F.col(f"record.`{k}`").alias(k.replace(" ", "_")) for k in RATING_KEYS])
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.operators.orphans import find_orphans, merge_intervals, orphan_report
-from pairlens.plans.general import RATING_KEYS
+from pairlens.plans.general import RATING_KEYS, p4_loaded_ratings
 from pairlens.sources.malformed import CORRUPT, object_reason, read_objects, read_records
 
 SCHEMA = T.StructType([T.StructField("a", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("b", T.StringType())])
@@ -64,6 +64,17 @@ def test_objects_keep_raw_text(spark):
     assert (got[3]["reason"], got[3]["record"]) == (None, None)
 
 
+def test_loaded_ratings_are_whole(spark, tmp_path):
+    body = rating(**{"location omission": 2**53 + 1, "location omission_explanation": 'a "b"\nc', "readability_reason": "é"})
+    d = spark.createDataFrame([(1, "x " + body + "\n"), (2, "{"), (3, None)], "score_id int, eval_result string")
+    d.write.parquet(str(tmp_path / "gema_scores.parquet"))
+    got = p4_loaded_ratings(spark, str(tmp_path)).collect()
+    assert [r["score_id"] for r in got] == [1] and len(got[0]) == 1 + len(RATING_KEYS) == 24
+    r = got[0].asDict()
+    assert (r["location_omission"], r["location_omission_explanation"], r["readability_reason"]) == (2**53 + 1, 'a "b"\nc', "é")
+    assert r["severity_false_prediction_explanation"] == "" and r["weighted_final_score"] == 0.5
+
+
 def day(n):
     return dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
 
