@@ -12,19 +12,20 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import at_most, cut, spread
 from .truncated import fit
 
 TYPES = ("email", "phone", "identity", "address", "name")
-#: Candidates the classifier is fitted on, and words kept of the corpus's names and vocabulary, at most.
+#: Candidates the classifier is fitted on, and words broadcast of the corpus's names and of its vocabulary, at most; further words are joined to their texts.
 TRAIN_SPANS = 30_000
 LEXICON_WORDS = 200_000
 BITS = 18
@@ -90,8 +91,18 @@ class Span(NamedTuple):
 class Lexicon(NamedTuple):
     """What the corpus says about words: those seen as names, and those seen as ordinary words."""
 
-    names: frozenset[str]
-    ordinary: frozenset[str]
+    names: Container[str]
+    ordinary: Container[str]
+
+
+class _Either(NamedTuple):
+    """The broadcast words and those joined to one text."""
+
+    shared: frozenset[str]
+    own: frozenset[str]
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.shared or word in self.own
 
 
 EMPTY = Lexicon(frozenset(), frozenset())
@@ -260,8 +271,18 @@ def estimate(votes: dict[tuple[str, str], float], rounds: int = 30) -> dict[tupl
     return out
 
 
-def learn_lexicon(df: DataFrame, text: str, limit: int = LEXICON_WORDS) -> Lexicon:
-    """Names after strong titles, and words that are ordinary as they mostly come in lower case; the most frequent ones."""
+def looked_up(text: str) -> set[str]:
+    """All words that ``candidates`` may look for in the lexicon: runs of letters, alone and two by two around an apostrophe."""
+    runs = list(re.finditer(rf"{_L}+", text))
+    pairs = (text[a.start() : b.end()] for a, b in zip(runs, runs[1:]) if text[a.end() : b.start()] in ("'", "’"))
+    return {w.lower() for w in (*(m[0] for m in runs), *pairs)}
+
+
+def learn_lexicon(df: DataFrame, text: str, limit: int = LEXICON_WORDS) -> tuple[Lexicon, DataFrame | None]:
+    """Names after strong titles, and words that are ordinary as they mostly come in lower case.
+
+    The ``limit`` most frequent ones of each, and ``word, named`` of all, if there are more.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[str, list[int]] = {}
@@ -288,30 +309,55 @@ def learn_lexicon(df: DataFrame, text: str, limit: int = LEXICON_WORDS) -> Lexic
 
     sums = [F.sum(c).alias(c) for c in ("lower", "upper", "titled")]
     counted = cut(df.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, lower long, upper long, titled long").groupBy("word").agg(*sums))
-    ordinary = counted.where("lower >= 2 and lower > 2 * upper").orderBy(F.desc("lower"), "word").limit(limit)
-    names = counted.where("titled >= 1 and lower <= titled").orderBy(F.desc("titled"), "word").limit(limit)
-    known = frozenset(r["word"] for r in names.collect())
-    return Lexicon(known, frozenset(r["word"] for r in ordinary.collect()) - known)
+    named = F.expr("titled >= 1 and lower <= titled")
+    words = counted.withColumn("named", named).where("named or lower >= 2 and lower > 2 * upper")
+    names, ordinary = words.where("named"), words.where("not named")
+    whole = at_most(names, limit) and at_most(ordinary, limit)
+    head = [frozenset(r["word"] for r in x.orderBy(F.desc(c), "word").limit(limit).collect()) for x, c in ((names, "titled"), (ordinary, "lower"))]
+    return Lexicon(*head), None if whole else words.select("word", "named")
+
+
+def _with_own_words(rows: DataFrame, lex: Broadcast, words: DataFrame) -> DataFrame:
+    """Adds ``_own``: the words of each text that are in ``words`` but not in the broadcast lexicon."""
+    rows = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, w) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in looked_up(t) if w not in lex.value.names and w not in lex.value.ordinary]
+            yield pa.RecordBatch.from_pydict({"_id": pa.array([i for i, _ in found], pa.int64()), "word": pa.array([w for _, w in found], pa.string())})
+
+    met = rows.select("_id", "_text").mapInArrow(further, "_id long, word string").join(words, "word")
+    own = met.groupBy("_id").agg(F.collect_list(F.struct("word", "named")).alias("_own"))
+    return rows.join(own, "_id", "left").drop("_id")
+
+
+def _lexicon_of(lex: Lexicon, own: list[dict] | None) -> Lexicon:
+    if not own:
+        return lex
+    return Lexicon(*[_Either(shared, frozenset(w["word"] for w in own if w["named"] == named)) for shared, named in ((lex.names, True), (lex.ordinary, False))])
 
 
-def find_personal(df: DataFrame, keys: list[str], text: str, train_spans: int = TRAIN_SPANS) -> DataFrame:
+def find_personal(df: DataFrame, keys: list[str], text: str, train_spans: int = TRAIN_SPANS, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """Occurrences of personal information: ``keys, pii_type, start_pos, end_pos, p``.
 
     Positions count code points from 0. Where spans overlap the more probable
     one is kept, then the longer. Null and empty texts hold none; equal rows give equal
     occurrences. Texts are read whole. The classifier is fitted on at most
     ``train_spans`` candidates spread over all rows by a hash; labeler counts cover all of them.
+    ``lexicon_words`` bounds what is broadcast, not what is known.
     """
     spark = df.sparkSession
     rows = spread(df.select(*keys, F.col(text).alias("_text")).where(F.length("_text") > 0))
-    lex = spark.sparkContext.broadcast(learn_lexicon(rows, "_text"))
+    head, words = learn_lexicon(rows, "_text", lexicon_words)
+    lex = spark.sparkContext.broadcast(head)
     n = len(keys)
+    texts = rows.withColumn("_own", F.lit(None).cast("array<struct<word:string,named:boolean>>")) if words is None else _with_own_words(rows, lex, words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
-            for i, t in enumerate(batch.column(n).to_pylist()):
-                for s in candidates(t, lex.value):
+            for i, (t, own) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())):
+                for s in candidates(t, _lexicon_of(lex.value, own)):
                     at.append(i)
                     found.append(s)
             left = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(n)]
@@ -319,7 +365,7 @@ def find_personal(df: DataFrame, keys: list[str], text: str, train_spans: int =
             yield pa.RecordBatch.from_arrays([*left, *own], names=[*keys, "pii_type", "start_pos", "end_pos", "votes", "features"])
 
     key_ddl = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    spans = cut(rows.mapInArrow(scan, f"{key_ddl}, pii_type string, start_pos int, end_pos int, votes string, features array<int>"))
+    spans = cut(texts.mapInArrow(scan, f"{key_ddl}, pii_type string, start_pos int, end_pos int, votes string, features array<int>"))
     counted = {(r["pii_type"], r["votes"]): float(r["n"]) for r in spans.groupBy("pii_type", "votes").agg(F.count("*").alias("n")).collect()}  # at most 5 * 3**4 rows
     belief = estimate(counted)
     share = min(1.0, 0.98 * train_spans / max(1.0, sum(counted.values())))

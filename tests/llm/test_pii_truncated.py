@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from pairlens.llm import pii, truncated
 
@@ -48,6 +51,35 @@ def test_planted_spans_are_found(spark):
     assert masked[i] == rows[i][0]
 
 
+def test_words_beyond_the_broadcast_count_too(spark):
+    texts = [t for t, _ in corpus(120)] + ["Report given to nurse Sean O'Brien-Hale.", "seen by sean hale today", "jasvel falmere and orurana osthbeck came, wenlodo holgard too"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "id int, text string")
+    # The fit, and so p, depends on the order of rows; the votes on the lexicon.
+    found = lambda **x: sorted(tuple(r)[:-1] for r in pii.find_personal(d, ["id"], "text", **x).collect())
+    want = found()
+    assert want and found(lexicon_words=3) == want
+
+
+class Asked:
+    def __init__(self, answer):
+        self.answer, self.words = answer, set()
+
+    def __contains__(self, word):
+        self.words.add(word)
+        return self.answer
+
+
+@pytest.mark.parametrize("names", [True, False])
+@pytest.mark.parametrize("ordinary", [True, False])
+def test_all_words_asked_for_are_looked_up(names, ordinary):
+    odd = ["Dr. O'Brien-Hale, J. McDonald's and D’Arcy van Berg_x 3Tesla", "pt anna-maria o'neil w/ élan vital, Straße Größe-Weiß", "It's Smith's A'B'C'D e.g. ann lee-jones."]
+    for t in [*odd, *(t for t, _ in corpus(60))]:
+        lex = pii.Lexicon(Asked(names), Asked(ordinary))
+        pii.candidates(t, lex)
+        words = {w for w in lex.names.words | lex.ordinary.words if w == w.lower() and re.fullmatch(r"[^\W\d_]+(?:['’][^\W\d_]+)?", w)}
+        assert words and words <= pii.looked_up(t) or not words
+
+
 def test_empty_table(spark):
     d = spark.createDataFrame([], "id int, text string")
     assert pii.find_personal(d, ["id"], "text").collect() == [] and pii.mask_personal(d, ["id"], "text").collect() == []
