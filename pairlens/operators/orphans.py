@@ -80,7 +80,9 @@ def orphan_report(refs: DataFrame, targets: DataFrame, keys: Sequence[str], at:
     the reference. Deleted: all else. A null time gives a null period and, as
     no target can be live then, counts as missing.
     """
-    found = find_orphans(refs, targets, keys, at, start, end).select(*keys, at).groupBy(*keys, at).agg(F.count("*").alias("n"))
+    # Equal keys and times, and so equal periods, share their fate: they are counted before the split into heavy keys and the rest.
+    counted = refs.select(*keys, at).groupBy(*keys, at).agg(F.count("*").alias("n"))
+    found = find_orphans(counted, targets, keys, at, start, end)
     first = targets.groupBy(*keys).agg(F.min(start).alias("_first"), F.count("*").alias("_rows"))
     joined = found.join(first, list(keys), "left")
     kind = F.when(F.col("_rows").isNull() | F.col(at).isNull(), "missing").when(F.col("_first") > F.col(at), "later").otherwise("deleted")

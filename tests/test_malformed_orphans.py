@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.operators import orphans
 from pairlens.operators.orphans import find_orphans, merge_intervals, orphan_report
 from pairlens.plans.general import RATING_KEYS, p4_loaded_ratings
 from pairlens.sources.malformed import CORRUPT, object_reason, read_objects, read_records
@@ -103,6 +104,15 @@ def test_orphans_against_brute_force(spark, limit):
     assert sum(x["n_orphans"] for x in rep) == got.count() == sum(x["n_missing"] + x["n_deleted"] + x["n_later"] for x in rep)
 
 
+def test_report_counts_references_before_the_split(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(orphans, "find_orphans", lambda refs, *a: given.append(refs) or find_orphans(refs, *a))
+    r = spark.createDataFrame([("a", day(1))] * 50 + [("a", day(40)), (None, day(1)), ("b", None)], "ref string, at timestamp")
+    t = spark.createDataFrame([("a", day(30), None)], "ref string, s timestamp, e timestamp")
+    got = {x["period"] and x["period"].month: tuple(x)[1:] for x in orphan_report(r, t, ["ref"], "at", "s", "e").collect()}
+    assert got == {1: (0, 0, 50, 50), None: (1, 0, 0, 1)} and given[0].count() == 4
+
+
 def test_orphans_of_empty_tables(spark):
     r = spark.createDataFrame([(1, "a", day(1))], "id int, ref string, at timestamp")
     t = spark.createDataFrame([], "ref string, s timestamp, e timestamp")
