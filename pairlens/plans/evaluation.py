@@ -9,7 +9,7 @@ from ..functions import jsonscan, metrics, text
 from ..functions.labels import CATEGORY_BUCKET, COUNTS_A, COUNTS_B, WIDE_BUCKET, penalty, score_or_zero, totals
 from ..operators import entities, findings, raters
 from ..operators.correlation import complete_groups, correlate
-from ..session import table
+from ..session import cut, table
 from .model import RuleBasedClient
 from .pipeline import evaluate_pairs
 
@@ -188,7 +188,10 @@ def collated_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collated_wide(spark: SparkSession, d: str) -> DataFrame:
-    return raters.collate_wide(collated_long(spark, d), MODELS, ["tau", "spearman", "mae", "n_samples"])
+    """The known models first, in any case, then all others of the table by name."""
+    long = cut(collated_long(spark, d))
+    others = sorted({r["model"] for r in long.select("model").distinct().collect()} - set(MODELS))
+    return raters.collate_wide(long, [*MODELS, *others], ["tau", "spearman", "mae", "n_samples"])
 
 
 def _report_texts(spark: SparkSession, d: str) -> DataFrame:

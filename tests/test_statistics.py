@@ -5,6 +5,7 @@ import random
 import pytest
 
 from pairlens.operators.correlation import correlate, exact_tau_p, incomplete_beta, student_p
+from pairlens.plans import evaluation
 
 
 def brute(xs, ys):
@@ -53,3 +54,10 @@ def test_student_p_known_values():
     assert student_p(r, 3) == pytest.approx(1 - 2 * math.atan(t) / math.pi)
     assert student_p(0.0, 10) == pytest.approx(1.0) and student_p(1.0, 5) == 0.0 and student_p(0.3, 2) is None
     assert incomplete_beta(2, 2, 0.5) == pytest.approx(0.5)
+
+
+def test_collation_has_every_model(spark, monkeypatch):
+    long = spark.createDataFrame([("mdl_aster", "c", 0.5, 0.4, 1.0, 9), ("mdl_new", "c", 0.25, 0.1, 2.0, 7)], "model string, column_name string, tau double, spearman double, mae double, n_samples long")
+    monkeypatch.setattr(evaluation, "collated_long", lambda spark, d: long)
+    r = evaluation.collated_wide(spark, "").first().asDict()
+    assert (r["mdl_aster__tau"], r["mdl_new__tau"], r["mdl_new__n_samples"], r["mdl_dune__tau"]) == (0.5, 0.25, 7, None)
