@@ -43,11 +43,10 @@ def test_join_loses_no_similar_pair(spark):
         best = []
         for o, f in refs:
             pf = " ".join(mapping.plain_words(f))
-            a, b = set(mapping.letter_pairs(pv.split())), set(mapping.letter_pairs(pf.split()))
-            j = len(a & b) / len(a | b)
+            a, b = set(mapping.letter_runs(pv.split())), set(mapping.letter_runs(pf.split()))
             d = mapping.spelling_distance(pv, pf)
-            if j >= mapping.SIMILARITY and d < 9:
-                best.append((d, -j, o))
+            if len(a & b) >= mapping.least_overlap(max(len(a), len(b)), len(pv.replace(" ", ""))) and d < 9:
+                best.append((-len(a & b) / len(a | b), d, o))
         if best:
             want[v] = min(best)[2]
     got = mapping.map_values(spark.createDataFrame([(v,) for v in set(values)], "value string"), spark.createDataFrame(refs, "ord int, form string"))
@@ -82,6 +81,21 @@ def test_consensus_finds_truth_and_care(spark):
     assert sum(x["n_ratings"] for x in r.values()) == d.count()
 
 
+def test_consensus_is_the_same_by_joins(spark):
+    d, _ = simulated(spark)
+    own = [consensus.consensus(d, ["item"], "rater", "label", rounds=6, matrix_cells=cells) for cells in (consensus.MATRIX_CELLS, 0)]
+    for a, b in zip(*[[sorted(x.collect()) for x in pair] for pair in own]):
+        assert len(a) == len(b) > 0
+        assert all(x == pytest.approx(y, abs=1e-6) for x, y in zip(a, b))
+
+
+def test_consensus_of_raters_with_names(spark):
+    rows = [(i, r, i % 2) for i in range(12) for r in "abc"] + [(i, "d", 1) for i in range(12)]
+    items, raters = consensus.consensus(spark.createDataFrame(rows, "item int, rater string, label int"), ["item"], "rater", "label")
+    assert {r["item"]: r["label"] for r in items.collect()} == {i: i % 2 for i in range(12)}
+    assert {r["rater"] for r in raters.collect()} == set("abcd")
+
+
 def test_consensus_of_odd_tables(spark):
     rows = [(1, 0, 2), (1, 0, 2), (2, 0, None), (None, 0, 1), (3, None, 1), (4, 1, 99), (5, 1, -1)]
     d = spark.createDataFrame(rows, "item int, rater int, label int")
