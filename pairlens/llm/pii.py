@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import at_most, cut, spread
-from .truncated import fit
+from .truncated import fit_lists, in_share, probabilities
 
 TYPES = ("email", "phone", "identity", "address", "name")
 #: Candidates the classifier is fitted on, and words broadcast of the corpus's names and of its vocabulary, at most; further words are joined to their texts.
@@ -368,16 +368,19 @@ def find_personal(df: DataFrame, keys: list[str], text: str, train_spans: int =
     spans = cut(texts.mapInArrow(scan, f"{key_ddl}, pii_type string, start_pos int, end_pos int, votes string, features array<int>"))
     counted = {(r["pii_type"], r["votes"]): float(r["n"]) for r in spans.groupBy("pii_type", "votes").agg(F.count("*").alias("n")).collect()}  # at most 5 * 3**4 rows
     belief = estimate(counted)
-    share = min(1.0, 0.98 * train_spans / max(1.0, sum(counted.values())))
-    sample = spans.where(F.pmod(F.xxhash64(*keys, "start_pos"), F.lit(1_000_000)) < int(1_000_000 * share)).select("pii_type", "votes", "features").limit(train_spans).collect()
-    weights = spark.sparkContext.broadcast(fit([r["features"] for r in sample], [belief[(r["pii_type"], r["votes"])] for r in sample]).astype(np.float32))
+    share = 0.98 * train_spans / max(1.0, sum(counted.values()))
+    chosen = spans.where(in_share(share, *keys, "start_pos")).select(F.xxhash64(*keys, "start_pos", "pii_type").alias("h"), "pii_type", "votes", "features").limit(train_spans).collect()
+    if counted and not chosen:
+        raise RuntimeError("no span was sampled for fitting")
+    sample = sorted(chosen, key=lambda r: r["h"])
+    weights = spark.sparkContext.broadcast(fit_lists([r["features"] for r in sample], [belief[(r["pii_type"], r["votes"])] for r in sample]).astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
         for batch in batches:
-            ps = pa.array([1 / (1 + np.exp(-np.clip(float(w[f].sum()), -30, 30))) for f in batch.column(n + 4).to_pylist()], pa.float64())
-            out = pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n + 4)], ps], names=[*keys, "pii_type", "start_pos", "end_pos", "votes", "p"])
-            yield out
+            own = batch.column(n + 4)
+            first = own.offsets.to_numpy()
+            p = probabilities(weights.value, own.values.to_numpy()[first[0] : first[-1]], first - first[0])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n + 4)], pa.array(p)], names=[*keys, "pii_type", "start_pos", "end_pos", "votes", "p"])
 
     scored = spans.mapInArrow(score, f"{key_ddl}, pii_type string, start_pos int, end_pos int, votes string, p double").where(F.col("p") >= THRESHOLD)
     # Only numbers get two candidates, phone and identity, for one and the same span.

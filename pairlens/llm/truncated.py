@@ -15,10 +15,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
 #: Rows the classifier is fitted on, at most, and its number of weights.
 TRAIN_ROWS = 20_000
@@ -139,11 +140,14 @@ def _malform(text: str, rng: random.Random) -> str:
 
 
 def examples(rows: Sequence[tuple[str, int]], structured: bool, seed: int = SEED) -> tuple[list[list[int]], list[int]]:
-    """Features and labels: intact texts, the same without their final stop, and texts cut inside."""
-    rng = random.Random(seed)
+    """Features and labels: intact texts, the same without their final stop, and texts cut inside.
+
+    Chance is drawn for each text by itself, so the same texts give the same examples in any order.
+    """
     xs: list[list[int]] = []
     ys: list[int] = []
     for text, limit in rows:
+        rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) ^ seed)
         if not looks_intact(text, limit, structured):
             continue
         xs.append(features(text, limit, structured))
@@ -191,56 +195,102 @@ def examples(rows: Sequence[tuple[str, int]], structured: bool, seed: int = SEED
     return xs, ys
 
 
-def fit(xs: Sequence[Sequence[int]], ys: Sequence[int], epochs: int = 8, rate: float = 0.3, ridge: float = 1e-6, seed: int = SEED) -> np.ndarray:
-    """Weights of a logistic regression, by adaptive gradient steps over one example at a time."""
+def fit(flat: np.ndarray, first: np.ndarray, ys: np.ndarray, epochs: int = 8, rate: float = 0.3, ridge: float = 1e-6, seed: int = SEED, batch: int = 32) -> np.ndarray:
+    """Weights of a logistic regression, by adaptive gradient steps over small batches.
+
+    ``flat`` has the features of all examples, ``first`` the bounds of each; every example has a feature.
+    """
     w, g = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
     order = np.arange(len(ys))
     rng = np.random.default_rng(seed)
-    arrays = [np.array(x) for x in xs]
+    sizes = np.diff(first)
     for _ in range(epochs):
         rng.shuffle(order)
-        for k in order:
-            x = arrays[k]
-            p = 1 / (1 + np.exp(-np.clip(w[x].sum(), -30, 30)))
-            d = (p - ys[k]) + ridge * w[x]
-            g[x] += d * d
-            w[x] -= rate * d / np.sqrt(g[x])
+        for k in range(0, len(order), batch):
+            own = order[k : k + batch]
+            n = sizes[own]
+            ends = np.cumsum(n)
+            x = flat[np.repeat(first[own] - ends + n, n) + np.arange(int(ends[-1]))]
+            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[x], ends - n), -30, 30)))
+            d = np.repeat(p - ys[own], n) + ridge * w[x]
+            np.add.at(g, x, d * d)
+            np.subtract.at(w, x, rate * d / np.sqrt(g[x]))
     return w
 
 
+def fit_lists(xs: Sequence[Sequence[int]], ys: Sequence[float], **options: float) -> np.ndarray:
+    """``fit`` for lists of features."""
+    first = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
+    return fit(np.fromiter((i for x in xs for i in x), np.int64, int(first[-1])), first, np.asarray(ys, float), **options)
+
+
+def probabilities(w: np.ndarray, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    if len(first) < 2:
+        return np.zeros(0)
+    return 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat], first[:-1]).astype(np.float64), -30, 30)))
+
+
+def in_share(share: float, *keys: str) -> Column:
+    """Whether the hash of the keys lies in the lowest ``share`` of all 64-bit values, however small that is."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*keys) < F.lit(int(share * 2.0**64) - 2**63)
+
+
 def score_truncation(df: DataFrame, key: str, text: str, source: str, structured: bool, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``key, source, n_chars, p_cut, truncated`` of every row whose text is neither null nor blank.
 
     ``structured``: the texts hold a JSON object with text around it. A null
     source is a source of its own. Equal rows get equal scores; other columns
-    are left out. With no texts to learn from nothing is called truncated.
+    are left out. Where no text looks intact there is nothing to learn from, and nothing is called truncated.
     Texts are read whole. At most ``train_rows`` rows, spread over the whole table by
     a hash of the key, are used for fitting; limits come from all rows.
     """
-    base = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source")).where(F.col("text").isNotNull() & (F.trim("text") != ""))
+    base = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))).where(F.col("text").isNotNull() & (F.trim("text") != ""))
     by_length = base.groupBy("source", F.length("text").alias("chars")).agg(F.count("*").alias("n"))
     longest = F.max_by("n", "chars")
     # A greatest length that a single text or two have is no limit.
-    limits = by_length.groupBy("source").agg((F.max("chars") + F.when(longest >= 3, 0).otherwise(1 << 30)).alias("most"), F.sum("n").alias("n"))
+    limits = cut(by_length.groupBy("source").agg((F.max("chars") + F.when(longest >= 3, 0).otherwise(1 << 30)).alias("most"), F.sum("n").alias("n")))
     with_limit = base.join(limits, base["source"].eqNullSafe(limits["source"])).drop(limits["source"])
     total = limits.agg(F.sum("n")).first()[0] or 0
-    share = min(1.0, 0.98 * train_rows / max(1, total))
-    sample = with_limit.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text", "most").limit(train_rows)
-    xs, ys = examples([(r[0], r[1]) for r in sample.collect()], structured)
-    weights = df.sparkSession.sparkContext.broadcast(fit(xs, ys).astype(np.float32)) if sum(ys) else None
-    if weights is None:
+    sample = with_limit.where(in_share(0.98 * train_rows / max(1, total), "key")).select(F.xxhash64("key", "text").alias("h"), "text", "most").limit(train_rows)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, xs, ys = [], [], []
+            for h, t, m in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                x, y = examples([(t, m)], structured)
+                hs += [h] * (len(x) or 1)
+                xs += x or [[]]  # a text that isn't intact counts as seen
+                ys += y or [0]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(hs, pa.int64()), "x": pa.array(xs, pa.list_(pa.int32())), "y": pa.array(ys, pa.int8())})
+
+    known = spread(sample).mapInArrow(learn, "h long, x array<int>, y byte").toArrow().combine_chunks()  # at most ``train_rows`` texts
+    if total and not len(known):
+        raise RuntimeError("no row was sampled for fitting")
+    known = known.filter(pc.greater(pc.list_value_length(known["x"]), 0)).combine_chunks()
+    ys = known["y"].to_numpy().astype(float)
+    if not ys.any():
         return base.select(F.col("key").alias(key), F.col("source").alias("source"), F.length("text").alias("n_chars"), F.lit(0.0).alias("p_cut"), F.lit(False).alias("truncated"))
+    order = np.argsort(known["h"].to_numpy(), kind="stable")
+    sizes = pc.list_value_length(known["x"]).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(known["x"]).to_numpy().astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    n = sizes[order]
+    ends = np.cumsum(n)
+    flat = flat[np.repeat(first[order] - ends + n, n) + np.arange(int(ends[-1]))]
+    weights = df.sparkSession.sparkContext.broadcast(fit(flat, np.concatenate([[0], ends]), ys[order]).astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
         for batch in batches:
-            ps = [1 / (1 + np.exp(-np.clip(float(w[features(t, m, structured)].sum()), -30, 30))) for t, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            sizes = pa.array([len(t) for t in batch.column(2).to_pylist()], pa.int32())
-            p = pa.array(ps, pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, p, pa.array([x >= THRESHOLD for x in ps], pa.bool_())], names=[key, "source", "n_chars", "p_cut", "truncated"])
+            texts = batch.column(2).to_pylist()
+            xs = [features(t, m, structured) for t, m in zip(texts, batch.column(3).to_pylist())]
+            ends = np.cumsum([0, *map(len, xs)])
+            p = probabilities(weights.value, np.fromiter((i for x in xs for i in x), np.int64, int(ends[-1])), ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int32()), pa.array(p), pa.array(p >= THRESHOLD)], names=[key, "source", "n_chars", "p_cut", "truncated"])
 
     kinds = [base.schema[c].dataType.simpleString() for c in ("key", "source")]
-    return spread(with_limit.select("key", "source", "text", "most")).mapInArrow(score, f"`{key}` {kinds[0]}, source {kinds[1]}, n_chars int, p_cut double, truncated boolean")
+    return with_limit.select("key", "source", "text", "most").mapInArrow(score, f"`{key}` {kinds[0]}, source {kinds[1]}, n_chars int, p_cut double, truncated boolean")
 
 
 def truncation_report(scored: DataFrame) -> DataFrame:
