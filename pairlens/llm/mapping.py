@@ -1,11 +1,13 @@
 """Freely entered values led back to the entries of a reference list.
 
 Method: a prefix-filter set-similarity join. Values and reference forms become
-sets of letter pairs; the sets are ordered by the rarity of their members
+sets of three-letter runs; the sets are ordered by the rarity of their members
 over all values; only members of the rare prefixes are joined, lengths and
 positions filter the pairs, Jaccard similarity is verified exactly and the
-best form is kept. A last check by letters tells misspelt forms from other
-words of like letters.
+most similar form is kept. How similar two must be depends on the value's
+length: an edit takes four runs at most, and a short value may have few edits. So
+the prefixes are short, and made of runs that are rare. A check of the edits themselves tells
+misspelt forms from other words of like letters.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import types as T
 
 from ..session import cut
 
-SIMILARITY = 0.45
+#: Members that one edit takes from a set, at most.
+PER_EDIT = 4
 HEAVY_SHARE = 0.005
 #: Names that mean an entry, by the entry's own name: a parameter, a tab-separated file.
 ALIASES = os.environ.get("PAIRLENS_ALIASES", str(Path(__file__).with_name("aliases.tsv")))
@@ -43,9 +46,9 @@ def plain_words(value: str) -> list[str]:
     return [w for w in words if w not in REMARKS] or words
 
 
-def letter_pairs(words: Sequence[str]) -> list[str]:
-    """The set of letter pairs of some words, with marks for their ends; the order of words plays no part."""
-    return sorted({p[i : i + 2] for w in words for p in [f"^{w}$"] for i in range(len(p) - 1)})
+def letter_runs(words: Sequence[str]) -> list[str]:
+    """The set of three-letter runs of some words, with marks for their ends; the order of words plays no part."""
+    return sorted({p[i : i + 3] for w in words for p in [f"^^{w}$"] for i in range(len(p) - 2)})
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -110,8 +113,8 @@ def _plain(values: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _pairs(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: letter_pairs(v.split()))
+def _runs(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: letter_runs(v.split()))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -120,47 +123,59 @@ def _distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([spelling_distance(a, b) for a, b in zip(values, forms)], dtype="int32")
 
 
-def _prefixes(df: DataFrame, rank: DataFrame, t: float) -> DataFrame:
-    """The rare prefix of each set: ``id, size, at, pair``. Sets of Jaccard ``t`` or more share a member of these."""
-    long = df.select("id", F.size("pairs").alias("size"), F.explode("pairs").alias("pair")).join(rank, "pair")
-    ordered = long.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("freq", "pair"))).alias("members"))
-    short = F.col("size") - F.ceil(F.col("size") * t - 1e-9).cast("int") + 1
-    return ordered.select("id", "size", F.posexplode(F.slice("members", F.lit(1), short)).alias("at", "m")).select("id", "size", "at", "m.pair")
+def least_overlap(n: int, letters: int) -> int:
+    """Members that the larger of two sets, of ``n`` members, must share for a value of so many letters."""
+    return n - PER_EDIT * _allowed(letters)
 
 
-def map_values(values: DataFrame, forms: DataFrame, t: float = SIMILARITY) -> DataFrame:
+def _lost(letters: Column) -> Column:
+    """Members that the edits allowed to a value of so many letters take, at most."""
+    return F.when(letters < 5, 0).when(letters < 12, PER_EDIT).when(letters < 24, 2 * PER_EDIT).otherwise(3 * PER_EDIT)
+
+
+def _prefixes(df: DataFrame, rank: DataFrame) -> DataFrame:
+    """The rare prefix of each set: ``id, lost, size, at, run``. Sets that differ by no more than ``lost`` members share a member of these."""
+    long = df.select("id", "lost", F.size("runs").alias("size"), F.explode("runs").alias("run")).join(rank, "run")
+    ordered = long.groupBy("id", "lost", "size").agg(F.sort_array(F.collect_list(F.struct("freq", "run"))).alias("members"))
+    return ordered.select("id", "lost", "size", F.posexplode(F.slice("members", F.lit(1), F.col("lost") + 1)).alias("at", "m")).select("id", "lost", "size", "at", "m.run")
+
+
+def candidate_pairs(v: DataFrame, r: DataFrame) -> DataFrame:
+    """Pairs ``v, f`` of sets ``id, lost, runs`` that pass the prefix, length and position filters."""
+    rank = v.select(F.explode("runs").alias("run")).unionByName(r.select(F.explode("runs").alias("run"))).groupBy("run").agg(F.count("*").alias("freq"))
+    a = _prefixes(v, rank).select(F.col("id").alias("v"), "lost", F.col("size").alias("vs"), F.col("at").alias("va"), "run")
+    b = _prefixes(r, rank).select(F.col("id").alias("f"), F.col("size").alias("fs"), F.col("at").alias("fa"), "run")
+    need = F.greatest("vs", "fs") - F.col("lost")
+    lengths = F.least("vs", "fs") >= need
+    positions = F.least(F.col("vs") - F.col("va"), F.col("fs") - F.col("fa")) >= need - F.least(F.col("va"), F.col("fa"))
+    return a.join(b, "run").where(lengths & positions).select("v", "f").distinct()
+
+
+def map_values(values: DataFrame, forms: DataFrame) -> DataFrame:
     """Best entry of each distinct value: ``value, ord, form, similarity, edits``; values that fit none are left out.
 
     ``values`` has ``value`` (distinct), ``forms`` has ``ord`` and ``form``. Of
     several entries the most similar is kept, then the one with fewer edits, then the
     first by ``ord``. Nulls, and values without letters or digits, fit none.
     """
+    letters = lambda c: F.length(F.replace(c, F.lit(" "), F.lit("")))
     plain = values.where(F.col("value").isNotNull()).select("value", _plain("value").alias("plain"))
-    v = plain.where("plain <> ''").select("plain").distinct().select(F.col("plain").alias("id"), _pairs("plain").alias("pairs"))
-    r = forms.select("ord", _plain("form").alias("form")).where("form <> ''").groupBy("form").agg(F.min("ord").alias("ord")).select(F.col("form").alias("id"), "ord", _pairs("form").alias("pairs"))
+    v = plain.where("plain <> ''").select("plain").distinct().select(F.col("plain").alias("id"), _lost(letters(F.col("plain"))).alias("lost"), _runs("plain").alias("runs"))
+    # A form's value may have three letters more, and so more edits.
+    r = forms.select("ord", _plain("form").alias("form")).where("form <> ''").groupBy("form").agg(F.min("ord").alias("ord")).select(F.col("form").alias("id"), "ord", _lost(letters(F.col("form")) + 3).alias("lost"), _runs("form").alias("runs"))
     v, r, plain = cut(v), cut(r), cut(plain)
-    rank = v.select(F.explode("pairs").alias("pair")).unionByName(r.select(F.explode("pairs").alias("pair"))).groupBy("pair").agg(F.count("*").alias("freq"))
-    a = _prefixes(v, rank, t).select(F.col("id").alias("v"), F.col("size").alias("vs"), F.col("at").alias("va"), "pair")
-    b = _prefixes(r, rank, t).select(F.col("id").alias("f"), F.col("size").alias("fs"), F.col("at").alias("fa"), "pair")
-    need = F.ceil((F.col("vs") + F.col("fs")) * (t / (1 + t)) - 1e-9)
-    lengths = (F.col("fs") >= F.col("vs") * t) & (F.col("vs") >= F.col("fs") * t)
-    positions = F.least(F.col("vs") - F.col("va"), F.col("fs") - F.col("fa")) >= need - F.least(F.col("va"), F.col("fa"))
-    met = a.join(b, "pair").where(lengths & positions).select("v", "f").distinct()
-    both = met.join(r.select(F.col("id").alias("f"), "ord", F.col("pairs").alias("fp")), "f").join(v.select(F.col("id").alias("v"), F.col("pairs").alias("vp")), "v")
+    met = candidate_pairs(v, r)
+    both = met.join(r.select(F.col("id").alias("f"), "ord", F.col("runs").alias("fp")), "f").join(v.select(F.col("id").alias("v"), "lost", F.col("runs").alias("vp")), "v")
     shared = F.size(F.array_intersect("vp", "fp"))
-    exact = both.withColumn("similarity", shared / (F.size("vp") + F.size("fp") - shared)).where(F.col("similarity") >= t)
-    # One edit takes three letter pairs at most from either side.
-    letters = F.length(F.replace("v", F.lit(" "), F.lit("")))
-    edits_allowed = F.when(letters < 5, 0).when(letters < 12, 1).when(letters < 24, 2).otherwise(3)
-    exact = exact.where(F.greatest(F.size("vp"), F.size("fp")) - shared <= 3 * edits_allowed).drop("vp", "fp")
-    exact = cut(exact.select("v", "f", "ord", "similarity"))  # else the spelling check would run before the filters
+    exact = both.where(F.greatest(F.size("vp"), F.size("fp")) - shared <= F.col("lost"))
+    exact = exact.select("v", "f", "ord", (shared / (F.size("vp") + F.size("fp") - shared)).alias("similarity"))
+    exact = cut(exact)  # else the spelling check would run before the filters
     near = exact.withColumn("edits", _distance("v", "f")).where("edits < 9")
-    # As many edits as may be are allowed, but a form that is spelt like the value goes before all others.
-    best = near.groupBy("v").agg(F.min_by(F.struct("ord", F.col("f").alias("form"), "similarity", "edits"), F.struct("edits", -F.col("similarity"), "ord")).alias("b"))
+    best = near.groupBy("v").agg(F.min_by(F.struct("ord", F.col("f").alias("form"), "similarity", "edits"), F.struct(-F.col("similarity"), "edits", "ord")).alias("b"))
     return plain.join(best, F.col("plain") == F.col("v")).select("value", "b.*")
 
 
-def map_rows(rows: DataFrame, column: str, forms: DataFrame, known: Column | None = None, t: float = SIMILARITY) -> DataFrame:
+def map_rows(rows: DataFrame, column: str, forms: DataFrame) -> DataFrame:
     """Adds ``ord`` to rows whose ``column`` is not null: the entry meant, or 0 if none fits.
 
     Values are reduced to distinct ones before the similarity join. Values
@@ -170,7 +185,7 @@ def map_rows(rows: DataFrame, column: str, forms: DataFrame, known: Column | Non
     rows = rows.where(F.col(column).isNotNull())
     counted = cut(rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
-    mapped = map_values(counted.select("value"), forms, t).select("value", "ord")
+    mapped = map_values(counted.select("value"), forms).select("value", "ord")
     mapped = cut(counted.join(mapped, "value", "left").select(F.col("value").alias("_value"), F.coalesce("ord", F.lit(0)).alias("ord"), (F.col("n") > max(1.0, HEAVY_SHARE * total)).alias("_heavy")))
     heavy = mapped.where("_heavy").drop("_heavy")
     light = mapped.where("not _heavy").drop("_heavy")
