@@ -129,3 +129,21 @@ def test_held_out_cuts(spark):
 
 def test_object_states():
     assert [truncated.object_state(t)[0] for t in ("no", '{"a": 1', '{"a": "x', '{"a": "}"} end', "")] == ["none", "open", "string", "closed", "none"]
+
+
+def test_samples_of_a_hundred_thousand_million_rows_are_not_empty(spark):
+    """A share far below a millionth still takes its part of the hashes, and no share takes more than its own."""
+    share = 0.98 * truncated.TRAIN_ROWS / 1e11
+    text = truncated.in_share(share, "id")._jc.toString()
+    limit = int(share * 2.0**64) - 2**63
+    assert str(limit) in text and limit > -(2**63)
+    d = spark.range(200_000)
+    assert 80 < d.where(truncated.in_share(1e-3, "id")).count() < 400
+    assert d.where(truncated.in_share(1.5, "id")).count() == 200_000
+
+
+def test_an_empty_sample_raises(spark, monkeypatch):
+    monkeypatch.setattr(truncated, "in_share", lambda *a: truncated.F.lit(False))
+    d = spark.createDataFrame([(1, "A whole sentence.", "s")], "id int, t string, source string")
+    with pytest.raises(RuntimeError):
+        truncated.score_truncation(d, "id", "t", "source", False)
