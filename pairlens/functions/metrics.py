@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import words
+from .text import let, words
 
 
 def bleu1(reference: Column, candidate: Column) -> Column:
@@ -19,18 +19,31 @@ def bleu1(reference: Column, candidate: Column) -> Column:
     All in the JVM. Null texts count as empty; an empty candidate or no common word gives 0.
     """
     r, c = words(F.coalesce(reference, F.lit(""))), words(F.coalesce(candidate, F.lit("")))
-    # Common words with their lesser counts: what is left of c when each word of r takes one away.
-    counts = lambda a: F.aggregate(F.array_sort(a), F.struct(F.array().cast("array<string>").alias("k"), F.lit("").alias("last"), F.lit(0).alias("n")), _numbered, lambda s: s["k"])
-    common = F.size(F.array_intersect(counts(r), counts(c)))
+    common = _common(r, c)
     n, m = F.size(c), F.size(r)
     brevity = F.when(n > m, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - F.try_divide(m.cast("double"), n.cast("double"))))
     return F.when((n > 0) & (common > 0), brevity * common / n).otherwise(F.lit(0.0))
 
 
-def _numbered(s: Column, w: Column) -> Column:
-    """Adds a word with its running number, so that repeated words differ."""
-    n = F.when((F.size(s["k"]) > 0) & (s["last"] == w), s["n"] + 1).otherwise(F.lit(1))
-    return F.struct(F.concat(s["k"], F.array(F.concat(w, F.lit("\u0001"), n.cast("string")))).alias("k"), w.alias("last"), n.alias("n"))
+def _common(a: Column, b: Column) -> Column:
+    """Size of the intersection of two bags of words: after one sort both sides' runs of a word stand side by side."""
+    tagged = lambda x, side: F.transform(x, lambda w: F.struct(w.alias("w"), F.lit(side).alias("s")))
+
+    def of_sorted(z: Column) -> Column:
+        n = F.size(z)
+        cuts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(z, i) != F.get(z, i - 1)))
+
+        def of_cuts(k: Column) -> Column:
+            def step(total: Column, i: Column) -> Column:
+                begin, middle, end = F.get(k, i), F.get(k, i + 1), F.get(k, i + 2)
+                same = F.get(z, begin)["w"] == F.get(z, middle)["w"]
+                return total + F.when(same, F.least(middle - begin, end - middle)).otherwise(0)
+
+            return F.when(F.size(k) < 3, 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(k) - 3, F.lit(0))), F.lit(0), step))
+
+        return let(cuts, of_cuts)
+
+    return let(F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))), of_sorted)
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -57,15 +70,19 @@ def _meteor(reference: str | None, candidate: str | None) -> float:
     places: dict[str, list[int]] = {}
     for i, w in enumerate(a):
         places.setdefault(w, []).append(i)
-    common = sum((Counter(a) & Counter(b)).values())
+    left = Counter(a) & Counter(b)
+    common = sum(left.values())
     if not common:
         return 0.0
     matched, used, last = [], set(), -2
-    left = Counter(a) & Counter(b)
+    first = dict.fromkeys(places, 0)  # of each word's places, those before are used
     for w in b:
         if left[w] > 0:
-            free = [i for i in places[w] if i not in used]
-            i = last + 1 if last + 1 in free else free[0]
+            i = last + 1
+            if not (i < len(a) and a[i] == w and i not in used):
+                while places[w][first[w]] in used:
+                    first[w] += 1
+                i = places[w][first[w]]
             used.add(i)
             left[w] -= 1
             matched.append(i)
