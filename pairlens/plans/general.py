@@ -78,7 +78,7 @@ def p4_loaded_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_loaded_ratings(spark: SparkSession, d: str) -> DataFrame:
-    r = rating_objects(spark, d).where("reason is null and record is not null")
+    r = rating_objects(spark, d).where("eval_result is not null and reason is null")
     return r.select("score_id", *[F.col(f"record.`{k}`").alias(k.replace(" ", "_")) for k in RATING_KEYS])
 
 

@@ -8,13 +8,17 @@ rules and get a reason by quoting, column count and casts.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
+
 CORRUPT = "_corrupt_record"
 
 
@@ -41,10 +45,9 @@ def record_syntax_ok(line: Column) -> Column:
     return (n % 2 == 1) & F.forall(flags, lambda x: x)
 
 
-def record_width(line: Column) -> Column:
-    """Number of fields of a record whose quotes are in order."""
-    outside = F.filter(_segments(line), lambda x, i: i % 2 == 0)
-    return F.length(F.regexp_replace(F.array_join(outside, ""), "[^,]", "")) + 1
+def outside_quotes(line: Column) -> Column:
+    """What stands outside quotes in a record whose quotes are in order."""
+    return F.array_join(F.filter(_segments(line), lambda x, i: i % 2 == 0), "")
 
 
 def record_fields(line: Column) -> Column:
@@ -80,28 +83,45 @@ def read_records(df: DataFrame, line: str, schema: T.StructType, checks: Mapping
     """
     width = len(schema)
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "maxColumns": str(max(512, 4 * width)), "emptyValue": ""}
+    # Within quotes, line ends stay as they are only with ``multiLine``.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "multiLine": "true", "maxColumns": str(max(512, 4 * width)), "emptyValue": "", "inputBufferSize": "4096"}  # the reader's own buffer takes two megabytes a record
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts)
     raw = F.col(line)
-    # The permissive reader can be trusted where there is nothing to quote; it would cut an unquoted line break.
-    plain = ~raw.rlike('["\\r\\n\\\\]') & (F.length(raw) > 0)
-    d = df.withColumn("_loose", F.when(plain, F.from_csv(raw, ddl, options)))
-    loose_ok = F.col("_loose").isNotNull() & F.col(f"_loose.{CORRUPT}").isNull()
-    d = d.withColumn("_syntax", loose_ok | record_syntax_ok(raw))
-    d = d.withColumn("_width", F.when(loose_ok, F.lit(width)).when(F.col("_syntax"), record_width(raw)))
-    strict = F.when(F.col("_width") == width, record_fields(raw))
-    loose = F.array(*[F.coalesce(F.col(f"_loose.{f.name}"), F.lit("")) for f in schema])
-    d = d.withColumn("_fields", F.when(loose_ok, loose).otherwise(strict))
-    good: Column = F.lit(True)
-    for i, f in enumerate(schema):
-        if f.name in checks:
-            good = good & checks[f.name](F.col("_fields")[i])
-    record = F.struct(*[F.col("_fields")[i].try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])
-    reason = (
-        F.when(raw.isNull(), "fields").when(~F.col("_syntax"), "syntax").when(F.col("_width") != width, "fields").when(~F.coalesce(good, F.lit(False)), "value")
-    )
-    d = d.withColumn("reason", reason)
-    return d.withColumn("record", F.when(F.col("reason").isNull(), record)).withColumn(CORRUPT, F.when(F.col("reason").isNotNull(), raw)).drop("_loose", "_syntax", "_width", "_fields")
+
+    def of_fields(fields: Column, syntax: Column, wide: Column) -> Column:
+        # A value that its column can't hold would be lost: it is no good one.
+        record = F.struct(*[F.get(fields, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])
+        checked = [checks[f.name](F.get(fields, F.lit(i))) for i, f in enumerate(schema) if f.name in checks]
+
+        def done(r: Column) -> Column:
+            good = reduce(Column.__and__, [*checked, *[r[f.name].isNotNull() for f in schema]])
+            reason = F.when(raw.isNull(), "fields").when(~syntax, "syntax").when(~wide, "fields").when(~F.coalesce(good, F.lit(False)), "value")
+            return F.struct(reason.alias("reason"), F.when(reason.isNull(), r).alias("record"))
+
+        return let(record, done)
+
+    def of_outside(syntax: Column, outside: Column) -> Column:
+        wide = F.coalesce(F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) + 1 == width, F.lit(False))
+        # The permissive reader takes a line break outside quotes for the record's end.
+        loose = F.when(wide & ~outside.rlike("[\\r\\n]"), F.from_csv(raw, ddl, options))
+
+        def of_loose(x: Column) -> Column:
+            own = F.array(*[F.coalesce(x[f.name], F.lit("")) for f in schema])
+            fields = F.when(x.isNotNull() & x[CORRUPT].isNull(), own).when(wide, record_fields(raw))
+            return let(fields, lambda f: of_fields(f, syntax, wide))
+
+        return let(loose, of_loose)
+
+    def of_line() -> Column:
+        quoted = raw.contains('"')
+        syntax = raw.isNotNull() & (~quoted | record_syntax_ok(raw))
+        seen = F.struct(syntax.alias("ok"), F.when(quoted, outside_quotes(raw)).otherwise(raw).alias("outside"))
+        return let(seen, lambda s: of_outside(s["ok"], F.when(s["ok"], s["outside"])))
+
+    # A generator, as no optimiser puts its expression into several places: each record is read once.
+    d = df.select("*", F.explode(F.array(of_line())).alias("_read"))
+    d = d.withColumn("record", F.col("_read.record")).withColumn("reason", F.col("_read.reason"))
+    return d.withColumn(CORRUPT, F.when(F.col("reason").isNotNull(), raw)).drop("_read")
 
 
 class _Int(str):
@@ -119,52 +139,79 @@ def _no_constant(x: str) -> None:
 _DECODER = json.JSONDecoder(parse_int=_Int, parse_float=_Float, parse_constant=_no_constant, object_pairs_hook=list)
 
 
-def object_reason(text: str | None, keys: Mapping[str, str]) -> str | None:
-    """Why the object at the first ``{`` of a text isn't as it should be.
+#: Digits of the greatest count that a column holds.
+COUNT_DIGITS = 38
+
+
+def object_fields(text: str | None, keys: Mapping[str, str]) -> tuple[str | None, list[str] | None]:
+    """Why the object at the first ``{`` of a text isn't as it should be, or the texts of its values in the order of ``keys``.
 
     ``keys`` maps each key to its kind: count (JSON integer of 0 or more),
     score (JSON number from 0 to 1) or text (string). Key given twice: fields.
-    Nested deeper than the parser allows (RFC 8259, section 9): syntax.
+    Nested deeper than the parser allows (RFC 8259, section 9): syntax. A count of more than
+    ``COUNT_DIGITS`` digits: value, as no column holds it. Half a surrogate pair, which no text can hold, becomes U+FFFD.
     """
     if text is None:
-        return None
+        return None, None
     at = text.find("{")
     if at < 0:
-        return "syntax"
+        return "syntax", None
     try:
         pairs, _ = _DECODER.raw_decode(text, at)
     except (ValueError, RecursionError):
-        return "syntax"
+        return "syntax", None
     if len(pairs) != len(keys) or {k for k, _ in pairs} != set(keys):
-        return "fields"
+        return "fields", None
     for k, v in pairs:
         kind = keys[k]
         if kind == "text":
             ok = type(v) is str
         elif kind == "count":
-            ok = type(v) is _Int and (not v.startswith("-") or not v.strip("-0"))
+            ok = type(v) is _Int and (not v.startswith("-") or not v.strip("-0")) and len(v) <= COUNT_DIGITS
         else:
             ok = type(v) in (_Int, _Float) and 0 <= float(v) <= 1
         if not ok:
-            return "value"
-    return None
+            return "value", None
+    values = dict(pairs)
+    return None, ["".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in values[k]) if keys[k] == "text" else values[k] for k in keys]
+
+
+def object_reason(text: str | None, keys: Mapping[str, str]) -> str | None:
+    return object_fields(text, keys)[0]
+
+
+def _variant_kind(keys: Mapping[str, str]) -> str:
+    """Pattern of the type of an object with exactly these keys, each of its kind."""
+    kinds = {"count": "BIGINT", "score": r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))", "text": "STRING"}
+    name = lambda k: k if re.fullmatch(r"\w+", k) else f"`{k}`"
+    return r"\AOBJECT<" + ", ".join(f"{re.escape(name(k))}: {kinds[keys[k]]}" for k in sorted(keys)) + r">\z"
 
 
 def read_objects(df: DataFrame, text: str, keys: Mapping[str, str]) -> DataFrame:
     """Adds ``record`` and ``reason`` (null, syntax, fields or value) for JSON objects inside text.
 
+    Objects are read permissively by the engine, from the first ``{`` on; those whose type is that of ``keys`` and whose
+    numbers are in their ranges are loaded. All other texts are kept and read once more by a strict
+    parser, which gives the reason, or the values where the first reading was too narrow.
     A null text is no case: both are null. A row with a reason has a null
     record and keeps its raw text in ``_corrupt_record``.
     """
-    kinds = {"count": "decimal(38,0)", "score": "double", "text": "string"}
-    ddl = ", ".join(f"`{k}` {kinds[v]}" for k, v in keys.items())
+    kinds = {"count": f"decimal({COUNT_DIGITS},0)", "score": "double", "text": "string"}
+    ddl = ", ".join(f"`{k}`: {kinds[v]}" for k, v in keys.items())
     fixed = dict(keys)
 
-    @F.pandas_udf("string")
-    def reason(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: object_reason(x, fixed), na_action="ignore")
+    @F.pandas_udf("reason string, fields array<string>")
+    def strict(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([object_fields(x, fixed) for x in s], columns=["reason", "fields"])
 
     raw = F.col(text)
-    d = df.withColumn("reason", reason(raw))
     body = F.expr(f"substring(`{text}`, length(substring_index(`{text}`, '{{', 1)) + 1)")
-    return d.withColumn("record", F.when(raw.isNotNull() & F.col("reason").isNull(), F.from_json(body, ddl, {"mode": "PERMISSIVE"}))).withColumn(CORRUPT, F.when(F.col("reason").isNotNull(), raw))
+    # Escaped halves of surrogate pairs are left to the strict parser.
+    read = let(F.when(~raw.rlike(r"\\u[dD][89a-fA-F]"), F.try_parse_json(body)), lambda v: F.when(F.schema_of_variant(v).rlike(_variant_kind(keys)), F.try_variant_get(v, "$", f"struct<{ddl}>")))
+    d = df.select("*", F.explode(F.array(read)).alias("_loose"))  # a generator: each object is read once
+    ranges = [(F.col(f"_loose.`{k}`") >= 0) & (F.col(f"_loose.`{k}`") <= 1) if v == "score" else F.col(f"_loose.`{k}`") >= 0 if v == "count" else F.col(f"_loose.`{k}`").isNotNull() for k, v in keys.items()]
+    d = d.withColumn("_vouched", F.coalesce(reduce(Column.__and__, ranges), F.lit(False)))
+    d = d.withColumn("_strict", strict(F.when(~F.col("_vouched"), raw))).withColumn("reason", F.col("_strict.reason"))
+    again = F.struct(*[F.col("_strict.fields")[i].try_cast(kinds[v]).alias(k) for i, (k, v) in enumerate(keys.items())])
+    d = d.withColumn("record", F.when(F.col("_vouched"), F.col("_loose")).when(F.col("_strict.fields").isNotNull(), again))
+    return d.withColumn(CORRUPT, F.when(F.col("reason").isNotNull(), raw)).drop("_loose", "_vouched", "_strict")

@@ -2,6 +2,7 @@ import csv
 import datetime as dt
 import io
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from pairlens.operators import orphans
 from pairlens.operators.orphans import find_orphans, merge_intervals, orphan_report
 from pairlens.plans.general import RATING_KEYS, p4_loaded_ratings
-from pairlens.sources.malformed import CORRUPT, object_reason, read_objects, read_records
+from pairlens.sources.malformed import CORRUPT, object_fields, object_reason, read_objects, read_records
 
 SCHEMA = T.StructType([T.StructField("a", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("b", T.StringType())])
 CHECKS = {"a": lambda c: c != "", "n": lambda c: c.rlike(r"\A[0-9]+\z")}
@@ -32,7 +33,7 @@ def test_records(spark):
 
 def test_records_round_trip(spark):
     rng = random.Random(2)
-    rows = [["".join(rng.choice('ab,"\n \\') for _ in range(rng.randrange(1, 9))), str(rng.randrange(99)), "".join(rng.choice('ab,"\n') for _ in range(rng.randrange(9)))] for _ in range(200)]
+    rows = [["".join(rng.choice('ab,"\n\r \\#') for _ in range(rng.randrange(1, 9))), str(rng.randrange(99)), "".join(rng.choice('ab,"\n') for _ in range(rng.randrange(9)))] for _ in range(200)]
     lines = []
     for r in rows:
         s = io.StringIO()
@@ -76,6 +77,40 @@ def test_loaded_ratings_are_whole(spark, tmp_path):
     assert r["severity_false_prediction_explanation"] == "" and r["weighted_final_score"] == 0.5
 
 
+def test_both_readings_of_objects_agree(spark):
+    """What the engine vouches for is what the strict parser accepts, and no value gets lost."""
+    rng = random.Random(6)
+    odd = ['1.0', '-0', '0', '1e0', '12345678901234567890', '9' * 38, '9' * 41, '1' + '0' * 1100, '0.' + '1' * 60, '1e-400', '1e400', '"a"', 'null', '{}', '[1]', '"\\ud83d\\ude00"', '"\\ud800"', '"\\u0041\\n"', "'a'", 'NaN', '01', 'true', '"' + "x" * 70_000 + '"', '1.00000000000000000000000001', '"back\\\\slash"', '"é 日本"']
+    texts = []
+    for _ in range(400):
+        own = {k: {"count": "2", "score": "0.25", "text": '"t"'}[v] for k, v in RATING_KEYS.items()}
+        for k in rng.sample(list(own), rng.choice([0, 1, 1, 2])):
+            own[k] = rng.choice(odd)
+        pairs = [f'"{k}": {v}' for k, v in own.items()]
+        rng.shuffle(pairs)
+        pairs += rng.choice([[], [], [], [pairs[0]], ['"more": 1']])
+        texts.append(rng.choice(["", "see [1] ", "}"]) + "{" + ", ".join(pairs) + "}" + rng.choice(["", " end.", "}", " {"]))
+    texts += [x[: rng.randrange(len(x))] for x in texts[:40]] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: r for r in read_objects(d, "t", RATING_KEYS).collect()}
+    loaded = 0
+    for i, x in enumerate(texts):
+        want, values = object_fields(x, RATING_KEYS)
+        assert got[i]["reason"] == want
+        assert (got[i]["record"] is not None) == (values is not None) and (got[i][CORRUPT] is None) == (want is None)
+        if values is not None:
+            loaded += 1
+            kinds = {"count": lambda v: Decimal(v), "score": float, "text": str}
+            assert tuple(got[i]["record"]) == tuple(kinds[k](v) for k, v in zip(RATING_KEYS.values(), values))
+    assert loaded > 80
+
+
+def test_values_that_no_column_holds_are_not_loaded(spark):
+    got = read(spark, ["x,99999999999,y", "x,2147483647,y"])
+    assert (got[0]["reason"], got[0]["record"]) == ("value", None) and got[1]["record"]["n"] == 2147483647
+    assert object_reason(rating(**{"location omission": 10**40}), RATING_KEYS) == "value"
+
+
 def day(n):
     return dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
 
