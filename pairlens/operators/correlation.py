@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .running import cells, sum_below, with_ranges
+from ..session import cut
+from .running import cells, ranges_for, sum_below, with_ranges
 
 MIN_ROWS = 3
 
@@ -20,32 +21,39 @@ def _tie_sums(c: DataFrame, group: list[str], v: str) -> DataFrame:
     return t.groupBy(*group).agg((F.sum(p) / 2).alias(f"ties_{v}"), F.sum(p * (2 * F.col("t") + 5)).alias(f"v_{v}"), F.sum(p * (F.col("t") - 2)).alias(f"w_{v}"))
 
 
-def _concordance(c: DataFrame, group: list[str]) -> DataFrame:
+def _concordance(c: DataFrame, group: list[str], ranges: int) -> DataFrame:
     """``con``, ``dis``: pairs of rows that both columns order alike, or against each other.
 
-    For each level of y the rows below it are summed by running x, so the work
-    is cells times levels of the coarser column, never pairs of rows.
+    Two places in the order of x differ first in some binary digit. So at each digit the cells with a 0
+    there are set against those with a 1 that agree in all higher digits, by sums running over y.
+    The work is cells times the number of digits; no pairs of cells arise.
     """
-    levels = c.select(*group, F.col("y").alias("level")).distinct()
-    # At each level: cells of that level give, cells above it take.
-    at = c.join(levels, group).where(F.col("y") >= F.col("level"))
-    at = at.withColumn("give", F.when(F.col("y") == F.col("level"), F.col("n")).otherwise(0)).withColumn("take", F.when(F.col("y") > F.col("level"), F.col("n")).otherwise(0))
-    g = [*group, "level"]
-    by_x = at.groupBy(*g, "x", "_range").agg(F.sum("give").alias("give"), F.sum("take").alias("take"))
-    low = sum_below(by_x, g, "x", "give", "less")
-    whole = by_x.groupBy(*g).agg(F.sum("give").alias("all"))
+    xs = with_ranges(c.select(*group, "x").distinct().withColumn("_one", F.lit(1)), group, "x", ranges)
+    places = sum_below(xs, group, "x", "_one", "_place").select(*group, "x", F.col("_place").cast("long").alias("_place"))
+    placed = cut(with_ranges(c.join(places, [*group, "x"]), group, "y", ranges))
+    top = placed.agg(F.max("_place")).first()[0] or 0
+    digits = F.explode(F.array(*[F.lit(i) for i in range(max(1, int(top).bit_length()))]))
+    at = placed.withColumn("_digit", digits)
+    at = at.withColumn("_block", F.expr("shiftright(_place, _digit + 1)")).withColumn("_bit", F.expr("shiftright(_place, _digit) & 1"))
+    g = [*group, "_digit", "_block"]
+    sums = [F.sum(F.when(F.col("_bit") == bit, F.col("n")).otherwise(0)).alias(name) for bit, name in ((0, "give"), (1, "take"))]
+    by_y = at.groupBy(*g, "y", "_range").agg(*sums)
+    low = sum_below(by_y, g, "y", "give", "less")
+    whole = by_y.groupBy(*g).agg(F.sum("give").alias("all"))
     both = low.join(whole, g)
-    return both.groupBy(*group).agg(F.sum(F.col("take") * F.col("less")).alias("con"), F.sum(F.col("take") * (F.col("all") - F.col("less") - F.col("give"))).alias("dis"))
+    d = lambda x: F.col(x).cast("double")
+    counted = both.groupBy(*group).agg(F.sum(d("take") * d("less")).alias("con"), F.sum(d("take") * (d("all") - d("less") - d("give"))).alias("dis"))
+    return c.select(*group).distinct().join(counted, group, "left").fillna(0.0, ["con", "dis"])
 
 
-def _mid_ranks(c: DataFrame, group: list[str], v: str) -> DataFrame:
-    values = with_ranges(c.groupBy(*group, v).agg(F.sum("n").alias("t")), group, v)
+def _mid_ranks(c: DataFrame, group: list[str], v: str, ranges: int) -> DataFrame:
+    values = with_ranges(c.groupBy(*group, v).agg(F.sum("n").alias("t")), group, v, ranges)
     below = sum_below(values, group, v, "t", "below")
     return below.select(*group, v, (F.col("below") + (F.col("t") + 1) / 2).alias(f"r_{v}"))
 
 
-def _spearman(c: DataFrame, group: list[str]) -> DataFrame:
-    r = c.join(_mid_ranks(c, group, "x"), [*group, "x"]).join(_mid_ranks(c, group, "y"), [*group, "y"])
+def _spearman(c: DataFrame, group: list[str], ranges: int) -> DataFrame:
+    r = c.join(_mid_ranks(c, group, "x", ranges), [*group, "x"]).join(_mid_ranks(c, group, "y", ranges), [*group, "y"])
     w = F.col("n").cast("double")
     n = F.sum(w)
     mean = (n + 1) / 2
@@ -63,14 +71,15 @@ def correlate(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     two rows. Groups without any complete row are left out.
     """
     c = cells(df, group, x, y)
+    ranges = ranges_for(c.count())
     n = F.sum("n").cast("double")
     base = c.groupBy(*group).agg(F.sum("n").alias("n_samples"), (F.sum(F.abs(F.col("x") - F.col("y")) * F.col("n")) / n).alias("mae"))
-    tau = base.join(_tie_sums(c, group, "x"), group).join(_tie_sums(c, group, "y"), group).join(_concordance(with_ranges(c, group, "x"), group), group)
+    tau = base.join(_tie_sums(c, group, "x"), group).join(_tie_sums(c, group, "y"), group).join(_concordance(c, group, ranges), group)
     m = F.col("n_samples").cast("double")
     pairs = m * (m - 1) / 2
     free = (pairs - F.col("ties_x")) * (pairs - F.col("ties_y"))
     tau = tau.withColumn("tau", F.when(free > 0, (F.col("con") - F.col("dis")) / F.sqrt(free)))
-    both = tau.join(_spearman(c, group), group)
+    both = tau.join(_spearman(c, group, ranges), group)
     p_tau = _p_tau("n_samples", "con", "dis", "ties_x", "ties_y", "v_x", "v_y", "w_x", "w_y", "tau")
     return both.select(*group, "tau", p_tau.alias("p_tau"), "spearman", _p_rho("spearman", "n_samples").alias("p_spearman"), "mae", "n_samples")
 

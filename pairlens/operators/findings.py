@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..session import cut
 
 PAIR = ["study_id", "candidate_reporter"]
 
@@ -77,14 +78,10 @@ def summary(df: DataFrame, column: str) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width bins over the column's range, as a plot needs them: ``bin, low, high, n``."""
+    df = cut(df.select(column))  # the range is needed before the bins
     r = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).first()
     if r["lo"] is None:
         return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
     lo, width = r["lo"], ((r["hi"] - r["lo"]) or 1.0) / bins
     b = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("int")
     return df.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n")).select("bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), "n")
-
-
-def ordinal(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
-    """0-based position by an explicit order column, for tables known to be small."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1)

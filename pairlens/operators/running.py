@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 RANGES = 64
+#: Rows of one range, about, where a table has more than ``RANGES`` times so many.
+RANGE_ROWS = 500_000
+MOST_RANGES = 4096
+
+
+def ranges_for(rows: int) -> int:
+    """Number of ranges that keeps each of them small, were all rows of one group."""
+    return max(RANGES, min(MOST_RANGES, rows // RANGE_ROWS))
 
 
 def with_ranges(df: DataFrame, group: list[str], x: str, ranges: int = RANGES) -> DataFrame:
-    """Adds ``_range``, a number that grows with ``x`` within each group."""
+    """Adds ``_range``, a number that grows with ``x`` within each group: how many of the cuts are smaller, by bisection."""
     at = [i / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(*group).agg(F.percentile_approx(x, at, 1000).alias("_cuts"))
-    return df.join(cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    cuts = df.groupBy(*group).agg(F.percentile_approx(x, at, max(1000, 4 * ranges)).alias("_cuts"))
+    steps = [1 << i for i in range(ranges.bit_length() - 1, -1, -1)]
+    further = lambda p, s: F.when((p + s <= F.size("_cuts")) & (F.get("_cuts", p + s - 1) < F.col(x)), p + s).otherwise(p)
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+    return df.join(cuts, group).withColumn("_range", found).drop("_cuts")
 
 
 def sum_below(df: DataFrame, group: list[str], x: str, value: str, out: str) -> DataFrame:

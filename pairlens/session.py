@@ -17,6 +17,7 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "12g") -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -31,11 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder and goes on from those files.
 
     The folder is the one the session names in ``spark.checkpoint.dir``, which
-    all executors share; only a session without one (tests) gets a local folder.
+    all executors share. Only a session in a single process (tests) may do without: it gets a local folder.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "pairlens-checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc._jsc.sc().isLocal():
+            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "pairlens-checkpoints"))
     return df.checkpoint()
 
 
