@@ -50,20 +50,15 @@ def balanced(text: str | None, opening: str, aware: bool = True, at: int | None
     return None
 
 
-def enclosing_object(text: str | None, key: str) -> str | None:
-    """The object around the first mention of a key; braces inside strings count too."""
-    if text is None or (k := text.find(f'"{key}"')) < 0:
+#: Fixed value: the first key of a rating, by which its object is found.
+FIRST_KEY = "entity_name false_prediction"
+
+
+def enclosing_object(text: str | None, key: str = FIRST_KEY) -> str | None:
+    """The object that begins at the last brace before the first mention of a key; braces inside strings count too."""
+    if text is None or (k := text.find(f'"{key}"')) < 0 or (start := text.rfind("{", 0, k)) < 0:
         return None
-    start, depth = k, 0
-    while start >= 0:
-        if text[start] == "}":
-            depth += 1
-        elif text[start] == "{":
-            if not depth:
-                return balanced(text, "{", aware=False, at=start)
-            depth -= 1
-        start -= 1
-    return None
+    return balanced(text, "{", aware=False, at=start)
 
 
 _SCORE = re.compile(r'"weighted_final_score"\s*:\s*([\d.]+)')
@@ -71,7 +66,7 @@ _SCORE = re.compile(r'"weighted_final_score"\s*:\s*([\d.]+)')
 
 def final_score(text: str | None) -> float | None:
     """The rating's final score: from its object if that is JSON, or else by pattern; null if neither gives one."""
-    body = enclosing_object(text, "weighted_final_score")
+    body = enclosing_object(text)
     if body is not None:
         try:
             value = json.loads(body).get("weighted_final_score")
@@ -124,7 +119,7 @@ def _text_udf(f):
 first_array = _text_udf(lambda x: balanced(x, "["))
 first_object = _text_udf(lambda x: balanced(x, "{"))
 first_value = _text_udf(lambda x: balanced(x, "{["))
-score_object = _text_udf(lambda x: enclosing_object(x, "weighted_final_score"))
+score_object = _text_udf(enclosing_object)
 findings_json = _text_udf(literal_findings)
 
 

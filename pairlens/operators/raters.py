@@ -74,3 +74,10 @@ def collate_wide(long: DataFrame, models: list[str], stats: list[str]) -> DataFr
     """One row per column, one column ``model__stat`` per model and statistic; models are given, so no extra job looks for them."""
     cells = [F.max(F.when(F.col("model") == m, F.col(s))).alias(f"{m}__{s}") for m in models for s in stats]
     return long.groupBy("column_name").agg(*cells)
+
+
+def scatter(ours: DataFrame, theirs: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """Points of a scatter plot per column, equal ones counted, with the limits of both axes: ``column_name, ours, rater, n, low, high``."""
+    points = long_pairs(ours, theirs, on, columns).groupBy("column_name", "ours", "rater").agg(F.count("*").alias("n"))
+    limits = points.groupBy("column_name").agg((F.least(F.min("ours"), F.min("rater")) - 0.5).alias("low"), (F.greatest(F.max("ours"), F.max("rater")) + 0.5).alias("high"))
+    return points.join(limits, "column_name").select("column_name", "ours", F.round("rater", 6).alias("rater"), "n", "low", "high")

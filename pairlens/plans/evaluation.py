@@ -10,6 +10,7 @@ from ..functions.labels import CATEGORY_BUCKET, COUNTS_A, COUNTS_B, WIDE_BUCKET,
 from ..operators import entities, findings, raters
 from ..operators.correlation import complete_groups, correlate
 from ..session import cut, table
+from . import pipeline, prompts, scorers
 from .model import RuleBasedClient
 from .pipeline import evaluate_pairs
 
@@ -212,22 +213,108 @@ def text_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_cosine_f1(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings of a label, split into two sets by the parity of their id, against each other."""
-    e = table(spark, d, "embeddings")
-    half = lambda p: F.collect_list(F.when(F.col("vec_id") % 2 == p, F.col("embedding")))
-    return e.groupBy("label").agg(half(0).alias("a"), half(1).alias("b")).select("label", metrics.greedy_cosine_f1("a", "b").alias("f1"))
+    """Texts of up to 32 token vectors: even ids of a run of ids are the reference's, odd ones the candidate's."""
+    e = table(spark, d, "embeddings").select("label", F.floor(F.col("vec_id") / 32).alias("run"), "vec_id", "embedding")
+    half = lambda p: F.collect_list(F.when(F.col("vec_id") % 2 == p, F.col("embedding")))  # noqa: E731 - 16 vectors at most
+    return e.groupBy("label", "run").agg(half(0).alias("a"), half(1).alias("b")).select("label", "run", F.round(metrics.greedy_cosine_f1("a", "b"), 4).alias("f1"))
 
 
 def metric_corr_combined(spark: SparkSession, d: str) -> DataFrame:
-    """BLEU-1, negated, against the average rater's significant and insignificant errors, in one row per metric."""
-    m = _report_texts(spark, d).select(F.col("study_id"), F.col("candidate_reporter").alias("candidate_type"), F.round(metrics.bleu1(F.col("ground_truth"), F.col("candidate_report")), 9).alias("bleu1"))
+    """Every text metric there is, negated, against the average rater's significant and insignificant errors: one row per metric."""
+    own = {m: F.round(c, 9) for m, c in metrics.all_metrics("ground_truth", "candidate_report").items()}
+    m = _report_texts(spark, d).select("study_id", F.col("candidate_reporter").alias("candidate_type"), *[c.alias(m) for m, c in own.items()])
     avg = raters.average_rater(rater_table_a(spark, d)).select(*raters.KEYS, "total_significant", "total_insignificant")
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col("bleu1").alias("x"), F.col(f"total_{t}").alias("y")) for t in ("significant", "insignificant")]))
-    long = complete_groups(m.join(avg, raters.KEYS).select(pairs.alias("p")).select("p.*"), ["target"], "x", "y")
-    s = correlate(long, ["target"], "x", "y")
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.lit(t).alias("target"), F.col(x).alias("x"), F.col(f"total_{t}").alias("y")) for x in own for t in ("significant", "insignificant")]))
+    long = complete_groups(m.join(avg, raters.KEYS).select(pairs.alias("p")).select("p.*"), ["metric", "target"], "x", "y")
+    s = correlate(long, ["metric", "target"], "x", "y")
     cell = lambda t, c, sign: _round(sign * F.max(F.when(F.col("target") == t, F.col(c))))
     out = [cell(t, c, -1).alias(f"{t}_{c}") for t in ("significant", "insignificant") for c in ("tau", "spearman")]
-    return s.groupBy(F.lit("bleu1").alias("metric")).agg(*out, F.max(F.when(F.col("target") == "significant", F.col("n_samples"))).alias("n_samples"))
+    return s.groupBy("metric").agg(*out, F.max(F.when(F.col("target") == "significant", F.col("n_samples"))).alias("n_samples"))
+
+
+def metric_corr_bleu1(spark: SparkSession, d: str) -> DataFrame:
+    return metric_corr_combined(spark, d).where("metric = 'bleu1'")
+
+
+def scatter_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points and axis limits of the plots of our totals against the average rater's."""
+    avg = raters.average_rater(rater_table_a(spark, d))
+    return raters.scatter(_ours(spark, d, "a"), avg, raters.KEYS, TOTALS)
+
+
+def collated_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The long result in the order of reports: by column, then model."""
+    return collated_long(spark, d).orderBy("column_name", "model")
+
+
+def done_files(spark: SparkSession, d: str) -> DataFrame:
+    """Names of files in order, each once, though several patterns may meet it."""
+    f = table(spark, d, "findings_raw").select("file_name")
+    return f.where(F.col("file_name").endswith(".csv")).union(f.where(F.col("file_name").startswith("run_"))).distinct().orderBy("file_name")
+
+
+def _messages(df: DataFrame, key: str | list[str], m: Column) -> DataFrame:
+    keys = [key] if isinstance(key, str) else key
+    return df.select(*keys, m.alias("m")).select(*keys, F.col("m")[0]["content"].alias("system"), F.element_at("m", -1)["content"].alias("asked"))
+
+
+def extract_prompts(spark: SparkSession, d: str) -> DataFrame:
+    keys = table(spark, d, "taxonomy").orderBy("ord").select("entity_key").collect()
+    r = table(spark, d, "reports").where("ground_truth is not null")
+    return _messages(r, "report_row_id", prompts.extraction(prompts.EXTRACTION, F.lit("\n".join(f"- {k[0]}" for k in keys)), F.col("ground_truth")))
+
+
+def compare_prompts(spark: SparkSession, d: str) -> DataFrame:
+    shared = entity_overlap(spark, d).groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("pos", "entity"))).alias("l"))
+    r = _report_texts(spark, d).where("ground_truth is not null and candidate_report is not null").join(shared, PAIR)
+    listed = F.transform("l", lambda x: x["entity"])
+    return _messages(r, PAIR, prompts.comparison(prompts.COMPARISON, listed, F.col("ground_truth"), F.col("candidate_report")))
+
+
+def significance_prompts(spark: SparkSession, d: str) -> DataFrame:
+    fields = ["entity", "reference_report_finding", "candidate_report_finding", *DETAILS]
+    rows = findings.keep_first(live_compare(spark, d).select(*PAIR, "pos", "compare_id", *fields), [*PAIR, "entity"], "pos", "compare_id")
+    listed = rows.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("compare_id", *fields))).alias("l"))
+    r = _report_texts(spark, d).where("ground_truth is not null").join(listed, PAIR)
+    return _messages(r, PAIR, prompts.significance(prompts.SIGNIFICANCE, F.col("ground_truth"), F.col("l"), fields)).drop("system")
+
+
+def section_prompts(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reports").where("ground_truth is not null")
+    return _messages(r, "report_row_id", prompts.sections(prompts.SECTIONS["system_prompt"], prompts.SECTIONS["user_template"], F.col("ground_truth")))
+
+
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reports").where("ground_truth is not null and candidate_report is not null")
+    return _messages(r, "report_row_id", prompts.judge(F.col("ground_truth"), F.col("candidate_report"))).drop("system")
+
+
+def section_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Both texts of all reports split into sections by the offline client."""
+    r = table(spark, d, "reports")
+    return pipeline.parse_sections(r, ["report_row_id"], "ground_truth", RuleBasedClient())
+
+
+def external_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The offline scorer, share of common words, on all report pairs."""
+    r = table(spark, d, "reports").select("report_row_id", "ground_truth", "candidate_report")
+    return scorers.external_scores(r, scorers.WordOverlap(), "ground_truth", "candidate_report", "overlap").select("report_row_id", F.round("overlap", 6).alias("overlap"))
+
+
+def judge_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings of all report pairs by the offline client, through the same path as a model's."""
+    r = table(spark, d, "reports").select("report_row_id", "ground_truth", "candidate_report")
+    return scorers.judge_scores(r, RuleBasedClient(), "ground_truth", "candidate_report").select("report_row_id", "judge", "eval_result")
+
+
+def judge_corr(spark: SparkSession, d: str) -> DataFrame:
+    """Stored ratings, the latest of each pair, against the average rater's errors, negated."""
+    g = table(spark, d, "gema_scores").where("study_id is not null and candidate_reporter is not null and gema is not null").select(*PAIR, "gema", "scored_at", "score_id")
+    g = findings.keep_last(g, PAIR, "scored_at", "score_id").withColumnRenamed("candidate_reporter", "candidate_type")
+    avg = raters.average_rater(rater_table_a(spark, d)).select(*raters.KEYS, "total_significant", "total_insignificant")
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col("gema").alias("x"), F.col(f"total_{t}").alias("y")) for t in ("significant", "insignificant")]))
+    s = correlate(complete_groups(g.join(avg, raters.KEYS).select(pairs.alias("p")).select("p.*"), ["target"], "x", "y"), ["target"], "x", "y")
+    return s.select("target", _round(-F.col("tau")).alias("tau"), _round(-F.col("spearman")).alias("spearman"), "n_samples")
 
 
 def resume_anti(spark: SparkSession, d: str) -> DataFrame:
@@ -289,7 +376,8 @@ QUERIES = {
         pair_score, entity_penalty, error_counts_a, error_counts_b, score_summary, score_histogram, allowed_entities, entity_overlap, missing_in_candidate, extra_in_candidate, merged_entities,
         dedup_keep_first, dedup_keep_last, significance_join, significance_status, rater_table_a, rater_avg, rater_table_b, compare_per_rater, compare_avg, compare_avg_p, compare_b, score_vs_counts,
         collated_long, collated_wide, token_norm, bleu1, text_metrics, greedy_cosine_f1, metric_corr_combined, resume_anti, json_sanitize, json_first_array, json_balanced, final_scores, sections,
-        taxonomy_pairs, model_routing, pipeline_rule_based,
+        taxonomy_pairs, model_routing, pipeline_rule_based, metric_corr_bleu1, scatter_points, collated_ordered, done_files, extract_prompts, compare_prompts, significance_prompts, section_prompts, judge_prompts,
+        section_stage, external_scores, judge_scores, judge_corr,
     )
 }
 
@@ -412,6 +500,15 @@ _PAIR_SCORE = f"""SELECT p.study_id, p.candidate_reporter, coalesce(q.pair_score
 _LONG = _compare_sql(f"{_FINDINGS}, {_OURS['a']}, {_RATERS}, {_AVG}", "av", raters.KEYS, [*COUNTS_A, *TOTALS], ["model", "column_name"], model=True)
 _B_OURS = f"oursb AS (SELECT study_id, {', '.join(f'sum({c}) AS {c}' for c in (*COUNTS_B, *TOTALS))} FROM ours GROUP BY 1)"
 
+
+
+def _text(s: str) -> str:
+    """A text as SQL."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+_STRIP = lambda c: f"regexp_replace({c}, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g')"
+
 ORACLE = {
     "pair_score": f"WITH {_FINDINGS} {_PAIR_SCORE}",
     "entity_penalty": f"WITH {_FINDINGS} SELECT compare_id, s AS significance, {_PENALTY} AS penalty FROM f",
@@ -442,7 +539,7 @@ ORACLE = {
     "collated_wide": f"{_LONG}, z AS (SELECT model, column_name, {_R3} FROM stats) SELECT column_name, {', '.join(f'max(CASE WHEN model = {chr(39)}{m}{chr(39)} THEN {s} END) AS {m}__{s}' for m in MODELS for s in ('tau', 'spearman', 'mae', 'n_samples'))} FROM z GROUP BY 1",
     "token_norm": f"SELECT section_id, CASE WHEN findings IS NOT NULL THEN coalesce(array_to_string({_WORDS('findings')}, ' '), '') END AS normalised, regexp_replace(findings, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g') AS stripped FROM report_sections",
     "bleu1": f"SELECT report_row_id, round({_BLEU}, 6) AS bleu1 FROM {_BLEU_FROM % 'reports'}",
-    "metric_corr_combined": f"""WITH {_RATERS}, {_AVG}, tr AS (SELECT * FROM reports WHERE study_id IS NOT NULL AND candidate_reporter IS NOT NULL QUALIFY row_number() OVER (PARTITION BY study_id, candidate_reporter ORDER BY report_row_id) = 1),
+    "metric_corr_bleu1": f"""WITH {_RATERS}, {_AVG}, tr AS (SELECT * FROM reports WHERE study_id IS NOT NULL AND candidate_reporter IS NOT NULL QUALIFY row_number() OVER (PARTITION BY study_id, candidate_reporter ORDER BY report_row_id) = 1),
  mb AS (SELECT study_id, candidate_reporter, round({_BLEU}, 9) AS bleu1 FROM {_BLEU_FROM % 'tr'}),
  {_stats_sql(" UNION ALL ".join(f"SELECT '{t}' AS target, bleu1 AS x, total_{t} AS y FROM mb JOIN av ON mb.study_id = av.study_id AND mb.candidate_reporter = av.candidate_type" for t in ("significant", "insignificant")), ["target"])}
  SELECT 'bleu1' AS metric, {", ".join(_ROUND(f"-max(CASE WHEN target = '{t}' THEN {c} END)") + f" AS {t}_{c}" for t in ("significant", "insignificant") for c in ("tau", "spearman"))}, max(CASE WHEN target = 'significant' THEN n_samples END) AS n_samples FROM stats""",
@@ -452,4 +549,29 @@ ORACLE = {
     "sections": "SELECT section_id, " + ", ".join(f"coalesce(translate({k}, '“”’', '\"\"'''), '') AS {k}" for k in jsonscan.SECTION_KEYS) + " FROM report_sections",
     "taxonomy_pairs": "SELECT category, count(*) AS n_entities, string_agg('- ' || entity_key, chr(10) ORDER BY ord) AS prompt_lines FROM taxonomy GROUP BY 1",
     "model_routing": r"SELECT DISTINCT file_name, regexp_replace(regexp_replace(file_name, '^run_[0-9]+_', ''), '[.]csv$', '') AS model, replace(replace(regexp_replace(regexp_replace(file_name, '^run_[0-9]+_', ''), '[.]csv$', ''), '-', '_'), '/', '_') AS safe_model, false AS hosted FROM findings_raw",
+    "score_histogram": f"""WITH {_FINDINGS}, z AS ({_PAIR_SCORE}), r AS (SELECT min(pair_score) AS lo, CASE WHEN max(pair_score) > min(pair_score) THEN max(pair_score) - min(pair_score) ELSE 1.0 END / 20 AS w FROM z),
+ b AS (SELECT CAST(least(floor((pair_score - lo) / w), 19) AS INT) AS bin, lo, w FROM z, r) SELECT bin, lo + bin * w AS low, lo + (bin + 1) * w AS high, count(*) AS n FROM b GROUP BY bin, lo, w""",
+    "greedy_cosine_f1": """WITH e AS (SELECT label, CAST(floor(vec_id / 32) AS BIGINT) AS run, vec_id % 2 AS side, vec_id, embedding FROM embeddings),
+ s AS (SELECT a.label, a.run, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM e a JOIN e b ON a.label IS NOT DISTINCT FROM b.label AND a.run = b.run AND a.side = 0 AND b.side = 1),
+ r AS (SELECT label, run, avg(m) AS v FROM (SELECT label, run, i, max(c) AS m FROM s GROUP BY ALL) q GROUP BY ALL), p AS (SELECT label, run, avg(m) AS v FROM (SELECT label, run, j, max(c) AS m FROM s GROUP BY ALL) q GROUP BY ALL)
+ SELECT g.label, g.run, round(CASE WHEN r.v + p.v <> 0 THEN 2 * p.v * r.v / (p.v + r.v) ELSE 0.0 END, 4) AS f1 FROM (SELECT DISTINCT label, run FROM e) g LEFT JOIN r ON g.label IS NOT DISTINCT FROM r.label AND g.run = r.run LEFT JOIN p ON g.label IS NOT DISTINCT FROM p.label AND g.run = p.run""",
+    "scatter_points": f"WITH {_FINDINGS}, {_OURS['a']}, {_RATERS}, {_AVG}, j AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(ours.{c} AS DOUBLE) AS ours, av.{c} AS rater FROM ours JOIN av USING (study_id, candidate_type)" for c in TOTALS) + "), l AS (SELECT column_name, least(min(ours), min(rater)) - 0.5 AS low, greatest(max(ours), max(rater)) + 0.5 AS high FROM j GROUP BY 1) SELECT column_name, ours, round(rater, 6) AS rater, count(*) AS n, low, high FROM j JOIN l USING (column_name) GROUP BY column_name, ours, rater, low, high",
+    "collated_ordered": f"{_LONG} SELECT model, column_name, {_R3} FROM stats ORDER BY column_name, model",
+    "done_files": "SELECT DISTINCT file_name FROM findings_raw WHERE file_name LIKE '%.csv' OR starts_with(file_name, 'run_') ORDER BY 1",
+    "extract_prompts": f"SELECT report_row_id, replace({_text(prompts.EXTRACTION)}, '{{entity_list}}', (SELECT string_agg('- ' || entity_key, chr(10) ORDER BY ord) FROM taxonomy)) AS system, {_text(prompts.EXTRACT_FROM)} || ground_truth AS asked FROM reports WHERE ground_truth IS NOT NULL",
+    "compare_prompts": f"""WITH {_SIDES}, l AS (SELECT study_id, candidate_reporter, '[' || chr(10) || '  ' || string_agg(CAST(to_json(entity) AS VARCHAR), ',' || chr(10) || '  ' ORDER BY pos NULLS FIRST, entity) || chr(10) || ']' AS l FROM ov GROUP BY 1, 2),
+ tr AS (SELECT * FROM reports WHERE study_id IS NOT NULL AND candidate_reporter IS NOT NULL QUALIFY row_number() OVER (PARTITION BY study_id, candidate_reporter ORDER BY report_row_id) = 1)
+ SELECT study_id, candidate_reporter, replace({_text(prompts.COMPARISON)}, '{{ entity_list_json }}', l) AS system, {_text(prompts.COMPARE_THESE + prompts.REFERENCE)} || {_STRIP('ground_truth')} || chr(10) || chr(10) || {_text(prompts.CANDIDATE)} || {_STRIP('candidate_report')} AS asked
+ FROM tr JOIN l USING (study_id, candidate_reporter) WHERE ground_truth IS NOT NULL AND candidate_report IS NOT NULL""",
+    "significance_prompts": f"""WITH {_FINDINGS}, o AS (SELECT study_id, candidate_reporter, compare_id, '{{' || chr(10) || '    ' || array_to_string(list_filter([{", ".join(f"""{'CASE WHEN discrepancy_type IS NOT NULL THEN ' if c == 'discrepancy_type' else ''}'"{c}": ' || coalesce(CAST(to_json({c}) AS VARCHAR), 'null'){' END' if c == 'discrepancy_type' else ''}""" for c in ("entity", "reference_report_finding", "candidate_report_finding", *DETAILS))}], lambda v: v IS NOT NULL), ',' || chr(10) || '    ') || chr(10) || '  }}' AS j FROM fc),
+ l AS (SELECT study_id, candidate_reporter, '[' || chr(10) || '  ' || string_agg(j, ',' || chr(10) || '  ' ORDER BY compare_id) || chr(10) || ']' AS l FROM o GROUP BY 1, 2),
+ tr AS (SELECT * FROM reports WHERE study_id IS NOT NULL AND candidate_reporter IS NOT NULL QUALIFY row_number() OVER (PARTITION BY study_id, candidate_reporter ORDER BY report_row_id) = 1)
+ SELECT study_id, candidate_reporter, {_text(prompts.REFERENCE)} || ground_truth || chr(10) || chr(10) || {_text(prompts.ENTITIES_JSON)} || l AS asked FROM tr JOIN l USING (study_id, candidate_reporter) WHERE ground_truth IS NOT NULL""",
+    "section_prompts": f"SELECT report_row_id, {_text(prompts.SECTIONS['system_prompt'])} AS system, replace({_text(prompts.SECTIONS['user_template'])}, '{{report_text}}', {_STRIP('ground_truth')}) AS asked FROM reports WHERE ground_truth IS NOT NULL",
+    "judge_prompts": f"SELECT report_row_id, {_text(prompts.JUDGE + chr(10) + prompts.JUDGE_CANDIDATE)} || candidate_report || chr(10) || chr(10) || {_text(prompts.JUDGE_REFERENCE)} || ground_truth || chr(10) AS asked FROM reports WHERE ground_truth IS NOT NULL AND candidate_report IS NOT NULL",
+    "external_scores": f"""SELECT report_row_id, round(CASE WHEN len(r) + len(c) > 0 THEN len(list_intersect(r, c)) / CAST(len(list_distinct(list_concat(r, c))) AS DOUBLE) ELSE 0.0 END, 6) AS overlap
+ FROM (SELECT report_row_id, list_distinct({_WORDS('ground_truth')}) AS r, list_distinct({_WORDS('candidate_report')}) AS c FROM reports) q""",
+    "judge_corr": f"""WITH {_RATERS}, {_AVG}, gm AS (SELECT * FROM gema_scores WHERE study_id IS NOT NULL AND candidate_reporter IS NOT NULL AND gema IS NOT NULL QUALIFY row_number() OVER (PARTITION BY study_id, candidate_reporter ORDER BY scored_at DESC NULLS LAST, score_id DESC) = 1),
+ {_stats_sql(" UNION ALL ".join(f"SELECT '{t}' AS target, gema AS x, total_{t} AS y FROM gm JOIN av ON gm.study_id = av.study_id AND gm.candidate_reporter = av.candidate_type" for t in ("significant", "insignificant")), ["target"])}
+ SELECT target, {_ROUND('-tau')} AS tau, {_ROUND('-spearman')} AS spearman, n_samples FROM stats""",
 }
