@@ -1,13 +1,14 @@
 """References to rows that are missing, deleted or not there yet.
 
-Method: targets become disjoint live intervals per key; references are counted
-per key, the few heavy keys are checked against a broadcast of their intervals,
+Method: targets become disjoint live intervals per key; references are reduced
+to one row per key and period, the few heavy keys are checked against a broadcast of their intervals,
 all other keys by a shuffled anti-join, and both results are united.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,22 @@ def live_intervals(targets: DataFrame, keys: Sequence[str], start: str, end: str
     return merge_intervals(by_month, keys)
 
 
-def find_orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, start: str, end: str, heavy_share: float = 0.005, broadcast_rows: int = 200_000) -> DataFrame:
+def _doubtful(counted: DataFrame, live: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups of references, with times from ``_from`` to ``_to``, that no one live interval holds wholly: ``keys, _period``."""
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_t_{k}") for k in keys])
+    held = same & (F.col("_t_start") <= F.col("_from")) & (F.col("_t_end") > F.col("_to"))
+    return counted.join(live, held, "left_anti").select(*keys, "_period")
+
+
+def _salted_anti(refs: DataFrame, live: DataFrame, keys: Sequence[str], at: str, salts: int) -> DataFrame:
+    """Anti-join by time where a few keys have very many rows on both sides: references have salts, over which they are spread, and intervals are repeated for each."""
+    t = live.withColumn("_t_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_t_{k}") for k in keys])
+    covers = same & (F.col("_salt") == F.col("_t_salt")) & (F.col(at) >= F.col("_t_start")) & (F.col(at) < F.col("_t_end"))
+    return refs.join(t, covers, "left_anti")
+
+
+def find_orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, start: str, end: str, period: str = "month", heavy_share: float = 0.005, broadcast_rows: int = 200_000, salts: int = 64) -> DataFrame:
     """The rows of ``refs`` whose key has no live target at their time.
 
     ``keys`` have the same names on both sides and are compared byte for byte.
@@ -47,30 +63,44 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[str], at: s
     target, so such a row is an orphan. Equal rows stay equal rows; other
     columns pass through, and may have the names of target columns.
 
+    References are reduced to one row per key and ``period`` first, with their number and span of time. Most
+    such groups lie within one live interval; only rows of the others are compared one by one.
+
     ``heavy_share``: keys with more than this share of the references are
-    heavy, at most ``1 / heavy_share`` keys. Their intervals are broadcast if
-    they are at most ``broadcast_rows``; otherwise they go with the rest.
+    heavy, at most ``1 / heavy_share`` keys. What is known of them is broadcast if it is
+    at most ``broadcast_rows`` rows, and otherwise repeated over ``salts``, over which their references are spread.
     """
     refs = refs.where(F.col(keys[-1]).isNotNull())
-    live = live_intervals(targets, keys, start, end).select(*[F.col(k).alias(f"_t_{i}") for i, k in enumerate(keys)], F.col("start").alias("_t_start"), F.col("end").alias("_t_end"))
-    per_key = refs.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = per_key.agg(F.sum("_n")).first()[0] or 0
-    names = [f"_t_{i}" for i in range(len(keys))]
-    same: Column = F.lit(True)
-    for k, n in zip(keys, names):
-        same = same & (F.col(f"_r.{k}") == F.col(n))
-    covers = same & (F.col(f"_r.{at}") >= F.col("_t_start")) & (F.col(f"_r.{at}") < F.col("_t_end"))
-    heavy = cut(per_key.where(F.col("_n") > max(1.0, heavy_share * total)).dropna(subset=list(keys)).select(*[F.col(k).alias(n) for k, n in zip(keys, names)]))
-    heavy_live = live.join(F.broadcast(heavy), names, "left_semi")
-    if heavy.isEmpty() or not at_most(heavy_live, broadcast_rows):
-        return refs.alias("_r").join(live, covers, "left_anti")
-    is_heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
-    split = refs.alias("_r").join(is_heavy, same, "left").drop(*names)
-    in_heavy = split.where(F.col("_heavy")).drop("_heavy")
-    in_rest = split.where(F.col("_heavy").isNull()).drop("_heavy")
-    a = in_heavy.alias("_r").join(F.broadcast(heavy_live), covers, "left_anti")
-    b = in_rest.alias("_r").join(live, covers, "left_anti")
-    return a.unionByName(b)
+    live = live_intervals(targets, keys, start, end).select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("start").alias("_t_start"), F.col("end").alias("_t_end"))
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in (*keys, at)])
+    lone = refs.where(~whole)
+    refs = refs.where(whole).withColumn("_period", F.trunc(at, period))
+    counted = cut(refs.groupBy(*keys, "_period").agg(F.count("*").alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to")))
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    per_key = counted.groupBy(*keys).agg(F.sum("_n").alias("_n")).where(F.col("_n") > max(1.0, heavy_share * total))
+    heavy = cut(per_key.select(*keys).withColumn("_heavy", F.lit(True)))
+    group = [*keys, "_period"]
+    if heavy.isEmpty():
+        doubtful = _doubtful(counted, live, keys)
+        return _anti(refs.join(doubtful, group, "left_semi").drop("_period"), live, keys, at).unionByName(lone)
+    few = F.broadcast(heavy)  # at most 1 / heavy_share rows
+    heavy_live = cut(live.join(few.select(*[F.col(k).alias(f"_t_{k}") for k in keys]), [f"_t_{k}" for k in keys], "left_semi"))
+    split = lambda df, how: df.join(few, list(keys), how)
+    rest = _anti(split(refs, "left_anti").join(_doubtful(split(counted, "left_anti"), live, keys), group, "left_semi"), live, keys, at)
+    heavy_doubtful = cut(_doubtful(split(counted, "left_semi"), heavy_live, keys))
+    own = split(refs, "left_semi")
+    if at_most(heavy_live, broadcast_rows) and at_most(heavy_doubtful, broadcast_rows):
+        own = _anti(own.join(F.broadcast(heavy_doubtful), group, "left_semi"), F.broadcast(heavy_live), keys, at)
+    else:
+        repeated = heavy_doubtful.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        own = own.withColumn("_salt", F.pmod(F.xxhash64(*refs.columns), F.lit(salts)).cast("int")).join(repeated, [*group, "_salt"], "left_semi")
+        own = _salted_anti(own, heavy_live, keys, at, salts)
+    return rest.select(*lone.columns).unionByName(own.select(*lone.columns)).unionByName(lone)
+
+
+def _anti(refs: DataFrame, live: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_t_{k}") for k in keys])
+    return refs.join(live, same & (F.col(at) >= F.col("_t_start")) & (F.col(at) < F.col("_t_end")), "left_anti")
 
 
 def orphan_report(refs: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, start: str, end: str, period: str = "month") -> DataFrame:
@@ -82,7 +112,7 @@ def orphan_report(refs: DataFrame, targets: DataFrame, keys: Sequence[str], at:
     """
     # Equal keys and times, and so equal periods, share their fate: they are counted before the split into heavy keys and the rest.
     counted = refs.select(*keys, at).groupBy(*keys, at).agg(F.count("*").alias("n"))
-    found = find_orphans(counted, targets, keys, at, start, end)
+    found = find_orphans(counted, targets, keys, at, start, end, period)
     first = targets.groupBy(*keys).agg(F.min(start).alias("_first"), F.count("*").alias("_rows"))
     joined = found.join(first, list(keys), "left")
     kind = F.when(F.col("_rows").isNull() | F.col(at).isNull(), "missing").when(F.col("_first") > F.col(at), "later").otherwise("deleted")
