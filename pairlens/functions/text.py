@@ -52,6 +52,7 @@ def file_safe(c: Column) -> Column:
 
 def is_hosted(c: Column) -> Column:
     """Whether a model's name routes to the hosted endpoint; null and empty names don't."""
+    # Fixed value: the word by which hosted models are told.
     return F.coalesce(F.lower(c).contains("databricks"), F.lit(False))
 
 
@@ -64,11 +65,3 @@ def model_name(path: Column, prefix: str, suffix: str = "_processed.csv") -> Col
 def entity_lines(keys: Column) -> Column:
     """Allowed keys as a list for a prompt, one line per key."""
     return F.array_join(F.transform(keys, lambda k: F.concat(F.lit("- "), k)), "\n")
-
-
-def render(template: str, **values: Column) -> Column:
-    """A prompt: each ``{name}`` of the template replaced by a column."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-    return out

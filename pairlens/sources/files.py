@@ -113,10 +113,5 @@ def append(df: DataFrame, sink: str) -> None:
     df.write.mode("append").parquet(sink)
 
 
-def scores_from_cache(pairs: DataFrame, cache: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Pairs with a cached score, by key and never by position; null where the cache has none."""
-    return pairs.join(cache.select(*keys, column), keys, "left")
-
-
 def model_of_file(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumn("model", text.model_name(F.col("file_name"), prefix))

@@ -27,9 +27,23 @@ def windowed_scores(stream: DataFrame, at: str, late: str = "30 days", width: st
 
 
 def score_batches(stream: DataFrame, sink: str, checkpoint: str, variant: str = "a") -> StreamingQuery:
-    """Counts and scores of each micro-batch, one directory per batch: a batch that runs again overwrites its own result."""
+    """Counts and scores of each micro-batch, one directory per batch: a batch that runs again overwrites its own result.
+
+    A pair whose findings come in several batches has a row in each; all of them are sums, and ``scores_so_far`` adds them up.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        error_counts(batch, variant).select(*PAIR, "pair_score", *[c for c in error_counts(batch, variant).columns if c not in (*PAIR, "pair_score")]).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        error_counts(batch, variant).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scores_so_far(spark: SparkSession, sink: str) -> DataFrame:
+    """Counts and scores of each pair over all batches written by now."""
+    parts = spark.read.parquet(sink)
+    return parts.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in (*PAIR, "batch")])
+
+
+def compact(spark: SparkSession, sink: str, to: str) -> None:
+    """Writes ``scores_so_far`` to another folder, one row per pair."""
+    scores_so_far(spark, sink).write.mode("overwrite").parquet(to)

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import sys
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.__main__ import main
 from pairlens.plans import prompts, scorers
 from pairlens.plans.model import LocalClient, RuleBasedClient, ask, unload
 from pairlens.plans.pipeline import LABELS, Prompts, compare_shared, evaluate_pairs, extract, first_of_each, parse_sections, rate, run_batches
@@ -230,3 +232,57 @@ def test_import_resume_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["study_id"]: r["pair_score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"s": 2.0, "t": 0.0}
+
+
+def test_stream_adds_up_over_batches(spark, tmp_path):
+    schema = "study_id string, candidate_reporter string, entity string, diagnosis_concordance string, location_concordance string, severity_concordance string, temporal_comparison string, discrepancy_type string, significance_score int"
+    rows = [("s", "m", "a", "partial", None, None, None, None, 2), ("s", "m", "b", "discordant", "partial", None, None, None, 3), ("t", "m", "a", "concordant", None, None, None, None, 0)]
+    source = str(tmp_path / "in")
+    for k, own in enumerate((rows[:1], rows[1:])):
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append" if k else "overwrite").parquet(source)
+    out = str(tmp_path / "out")
+    scoring.score_batches(scoring.findings_stream(spark, source, spark.createDataFrame([], schema).schema, 1), out, str(tmp_path / "state")).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 3
+    got = {r["study_id"]: r for r in scoring.scores_so_far(spark, out).collect()}
+    assert got["s"]["pair_score"] == 8.0 and got["s"]["false_prediction_significant"] == 2 and got["t"]["pair_score"] == 0.0
+    scoring.compact(spark, out, str(tmp_path / "one"))
+    assert spark.read.parquet(str(tmp_path / "one")).count() == 2
+
+
+def test_windowed_stream(spark, tmp_path):
+    schema = "candidate_reporter string, diagnosis_concordance string, location_concordance string, severity_concordance string, temporal_comparison string, significance_score int, at timestamp"
+    d = spark.createDataFrame([("m", "partial", None, None, None, 2, dt.datetime(2024, 1, 1, h)) for h in (1, 5)] + [("m", "partial", None, None, None, 1, dt.datetime(2024, 1, 2))], schema)
+    d.write.parquet(str(tmp_path / "in"))
+    w = scoring.windowed_scores(scoring.findings_stream(spark, str(tmp_path / "in"), d.schema), "at")
+    w.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination(120)
+    assert sorted((r["start"].day, r["penalty"], r["n_findings"]) for r in spark.table("windows").collect()) == [(1, 4.0, 2), (2, 1.0, 1)]
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "runs").mkdir()
+    cell = "[{'entity': 'a', 'diagnosis_concordance': 'partial', 'significance_score': %d, 'discrepancy_type': None}]"
+    for model in ("m_one", "m_two"):
+        lines = [f's{k},c,"{cell % (k % 4)}"' for k in range(8)]
+        (tmp_path / "runs" / f"eval_{model}.csv").write_text("study_id,candidate_reporter,findings\n" + "\n".join(lines) + "\n")
+    (tmp_path / "studies.csv").write_text("study_number,study_id\n" + "".join(f"{k},s{k}\n" for k in range(8)))
+    (tmp_path / "ratings.csv").write_text("study_number,candidate_type,rater_index,error_category,clinically_significant,num_errors\n" + "".join(f"{k},c,{r},1,{'true' if k % 2 else 'false'},{(k + r) % 3}\n" for k in range(8) for r in range(2)))
+    (tmp_path / "pairs.csv").write_text("study_id,candidate_reporter,reference_text,candidate_text\n" + "".join(f's{k},c,"A nodule {k}.","A nodule in the lung {k % 3}."\n' for k in range(8)))
+    (tmp_path / "taxonomy.yaml").write_text("Lung:\n  - Nodule\n")
+    at = lambda x: str(tmp_path / x)
+    rows = lambda x: spark.read.option("header", True).csv(at(x)).collect()
+    rated = ["--ratings", at("ratings.csv"), "--studies", at("studies.csv")]
+    main(["score", "--input", at("runs"), "--output", at("scores")], spark)
+    assert {float(r["pair_score"]) for r in rows("scores")} == {0.0, 1.0, 2.0, 3.0} and len(rows("scores")) == 16
+    main(["compare", "--input", at("runs"), "--output", at("cmp"), "--prefix", "eval_", *rated], spark)
+    assert {r["model"] for r in rows("cmp/collated_long")} == {"m_one", "m_two"} and {r["rater_of"] for r in rows("cmp/by_rater")} == {"0", "1"}
+    assert "m_one__tau" in rows("cmp/collated_wide")[0].asDict() and len(rows("cmp/score_against_counts")) == 3
+    main(["metrics", "--input", at("pairs.csv"), "--output", at("met"), *rated], spark)
+    assert {r["metric"] for r in rows("met/correlations")} == {"BLEU-1", "ROUGE-L", "METEOR"} and len(rows("met/metrics")) == 8
+    main(["judge", "--input", at("pairs.csv"), "--output", at("judge"), *rated], spark)
+    assert len(rows("judge/correlations")) == 2
+    main(["sections", "--input", at("pairs.csv"), "--output", at("sec")], spark)
+    assert {r["status"] for r in rows("sec")} == {"ok"}
+    main(["evaluate", "--input", at("pairs.csv"), "--output", at("ev"), "--model", "rule-based", "--taxonomy", at("taxonomy.yaml"), "--slices", "1"], spark)
+    assert spark.read.parquet(at("ev/rule_based")).count() == 8
+    with pytest.raises(SystemExit):
+        main(["nothing"], spark)

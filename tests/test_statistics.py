@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from pairlens.operators import running
 from pairlens.operators.correlation import correlate, exact_tau_p, incomplete_beta, student_p
 from pairlens.plans import evaluation
 
@@ -61,3 +62,34 @@ def test_collation_has_every_model(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "collated_long", lambda spark, d: long)
     r = evaluation.collated_wide(spark, "").first().asDict()
     assert (r["mdl_aster__tau"], r["mdl_new__tau"], r["mdl_new__n_samples"], r["mdl_dune__tau"]) == (0.5, 0.25, 7, None)
+
+
+def test_many_continuous_values_without_pairs_of_rows(spark):
+    """Against a merge count: 20,000 values in one group, in more ranges than the table needs."""
+    rng = random.Random(3)
+    xs = [rng.random() for _ in range(20_000)]
+    ys = [x + rng.choice([0.1, 0.5]) * rng.random() for x in xs]
+    seq = [y for _, y in sorted(zip(xs, ys))]
+
+    def inversions(a):
+        if len(a) < 2:
+            return a, 0
+        m = len(a) // 2
+        (p, i), (q, j) = inversions(a[:m]), inversions(a[m:])
+        out, n, k = [], i + j, 0
+        for v in q:
+            while k < len(p) and p[k] <= v:
+                out.append(p[k])
+                k += 1
+            n += len(p) - k
+            out.append(v)
+        return out + p[k:], n
+
+    dis = inversions(seq)[1]
+    pairs = len(xs) * (len(xs) - 1) / 2
+    got = correlate(spark.createDataFrame([("g", x, y) for x, y in zip(xs, ys)], "g string, x double, y double"), ["g"], "x", "y").first()
+    assert got["tau"] == pytest.approx((pairs - 2 * dis) / pairs) and got["n_samples"] == 20_000
+
+
+def test_ranges_grow_with_the_table():
+    assert running.ranges_for(1000) == running.RANGES and running.ranges_for(10**9) == 2000 and running.ranges_for(10**13) == running.MOST_RANGES
