@@ -144,9 +144,10 @@ def cut_corpus(
     if not 0 <= overlap < least <= most - overlap or most < 4 * _RUN:
         raise ValueError("sizes must satisfy 0 <= overlap < least <= most - overlap, and most be 1024 or more")
     kind = df.schema[key].dataType.simpleString()
+    vocab = df.sparkSession.sparkContext.broadcast(vocabulary(folder, name))  # of fixed size
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = BlockEncoder(vocabulary(folder, name))
+        coder = BlockEncoder(vocab.value)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             rows: list[tuple] = []

@@ -205,25 +205,35 @@ def encode_corpus(df: DataFrame, text: str = "text", ids: str = "ids", folder: s
     rows = frequent_words(df, text, head_words).collect() if head_words else []
     vocab = vocabulary(folder, name)
     words = [r["word"] for r in rows]
-    head = spark.sparkContext.broadcast(dict(zip(words, (np.array(x, np.int32) for x in vocab.replay(words)))))
+    # The vocabulary goes to the workers, of fixed size; its file is needed on the driver only.
+    shared = spark.sparkContext.broadcast((vocab, dict(zip(words, (np.array(x, np.int32) for x in vocab.replay(words))))))
     kept = [c for c in df.columns if c != ids]
     schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     index = kept.index(text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = BlockEncoder(vocabulary(folder, name), head.value)
+        coder = BlockEncoder(*shared.value)
         for batch in batches:
             at = 0
             for block in _blocks(batch.column(index).to_pylist()):
-                cut = [split_words(t) for t in block]
-                of = coder.lookup(cut)
-                parts = [of[w] for ws in cut for w in ws]
-                lengths = np.array([sum(len(of[w]) for w in ws) for ws in cut], np.int64)
-                flat = np.concatenate([np.asarray(p, np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                offsets, flat = _joined([split_words(t) for t in block], coder)
                 own = batch.slice(at, len(block))
                 at += len(block)
-                yield pa.RecordBatch.from_arrays([*own.columns, column], names=[*kept, ids])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*kept, ids])
 
     return spread(df.select(*kept)).mapInArrow(encode, schema)
+
+
+def _joined(texts: list[list[str]], coder: BlockEncoder) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and ids of texts given as words; ids of a word are laid out once and taken from there."""
+    of = coder.lookup(texts)
+    number = {w: i for i, w in enumerate(of)}
+    sizes = np.fromiter((len(x) for x in of.values()), np.int64, len(of))
+    ids = np.concatenate([np.asarray(x, np.int32) for x in of.values()]) if of else np.zeros(0, np.int32)
+    words = np.fromiter((number[w] for ws in texts for w in ws), np.int64)
+    n = sizes[words]
+    ends = np.cumsum(n)
+    first = (np.cumsum(sizes) - sizes)[words]
+    flat = ids[np.repeat(first - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    bounds = np.concatenate([[0], np.cumsum([len(ws) for ws in texts])]).astype(np.int64)
+    return np.concatenate([[0], ends])[bounds].astype(np.int32), flat
