@@ -139,4 +139,10 @@ _ORPHAN_REPORT = " UNION ALL ".join(
     + ") x GROUP BY 3"
     for n, k, f, at, t, on, s in _ORPHANS
 )
-ORACLE = {"p5_found": _ORPHAN_ROWS, "p5_report": _ORPHAN_REPORT}
+_FIELD = '"(?:[^"]|"")*"|[^",]*'
+_DETAILS = " AND ".join(f"f[{i}] IN ({', '.join(repr(x) for x in (DIAGNOSIS if i == 7 else CONCORDANCE))})" for i in (7, 8, 9, 10))
+_LOADED = f"""WITH c AS (SELECT raw_id, regexp_extract_all(raw_line || ',', '({_FIELD}),', 1) AS f FROM findings_raw WHERE regexp_full_match(raw_line, '(?:{_FIELD})(?:,(?:{_FIELD}))*')),
+ u AS (SELECT raw_id, list_transform(f, lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS f FROM c WHERE len(f) = 13)
+ SELECT raw_id, {", ".join(f"CAST(f[{i + 1}] AS {'BIGINT' if x.name == 'pos' else 'INT' if x.name == 'significance_score' else 'VARCHAR'}) AS {x.name}" for i, x in enumerate(FINDINGS_RECORD))} FROM u
+ WHERE f[1] <> '' AND f[2] <> '' AND f[4] <> '' AND regexp_full_match(f[3], '[0-9]+') AND {_DETAILS} AND f[11] IN ({', '.join(repr(x) for x in DISCREPANCY)}) AND regexp_full_match(f[12], '[0-4]')"""
+ORACLE = {"p5_found": _ORPHAN_ROWS, "p5_report": _ORPHAN_REPORT, "p4_loaded_findings": _LOADED}
