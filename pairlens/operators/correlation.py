@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ def _concordance(c: DataFrame, group: list[str], ranges: int) -> DataFrame:
     The work is cells times the number of digits; no pairs of cells arise.
     """
     xs = with_ranges(c.select(*group, "x").distinct().withColumn("_one", F.lit(1)), group, "x", ranges)
-    places = sum_below(xs, group, "x", "_one", "_place").select(*group, "x", F.col("_place").cast("long").alias("_place"))
+    places = sum_below(xs, group, "x", "_one", "_place", ranges).select(*group, "x", F.col("_place").cast("long").alias("_place"))
     placed = cut(with_ranges(c.join(places, [*group, "x"]), group, "y", ranges))
     top = placed.agg(F.max("_place")).first()[0] or 0
     digits = F.explode(F.array(*[F.lit(i) for i in range(max(1, int(top).bit_length()))]))
@@ -38,9 +38,9 @@ def _concordance(c: DataFrame, group: list[str], ranges: int) -> DataFrame:
     g = [*group, "_digit", "_block"]
     sums = [F.sum(F.when(F.col("_bit") == bit, F.col("n")).otherwise(0)).alias(name) for bit, name in ((0, "give"), (1, "take"))]
     by_y = at.groupBy(*g, "y", "_range").agg(*sums)
-    low = sum_below(by_y, g, "y", "give", "less")
+    low = sum_below(by_y, g, "y", "give", "less", ranges)
     whole = by_y.groupBy(*g).agg(F.sum("give").alias("all"))
-    both = low.join(whole, g)
+    both = low.withColumn("all", F.sum("give").over(Window.partitionBy(*g))) if ranges == 1 else low.join(whole, g)
     d = lambda x: F.col(x).cast("double")
     counted = both.groupBy(*group).agg(F.sum(d("take") * d("less")).alias("con"), F.sum(d("take") * (d("all") - d("less") - d("give"))).alias("dis"))
     return c.select(*group).distinct().join(counted, group, "left").fillna(0.0, ["con", "dis"])
@@ -48,7 +48,7 @@ def _concordance(c: DataFrame, group: list[str], ranges: int) -> DataFrame:
 
 def _mid_ranks(c: DataFrame, group: list[str], v: str, ranges: int) -> DataFrame:
     values = with_ranges(c.groupBy(*group, v).agg(F.sum("n").alias("t")), group, v, ranges)
-    below = sum_below(values, group, v, "t", "below")
+    below = sum_below(values, group, v, "t", "below", ranges)
     return below.select(*group, v, (F.col("below") + (F.col("t") + 1) / 2).alias(f"r_{v}"))
 
 
@@ -64,14 +64,14 @@ def _spearman(c: DataFrame, group: list[str], ranges: int) -> DataFrame:
     return r.groupBy(*group).agg(F.when((vx > 1e-9) & (vy > 1e-9), F.try_divide(cov, F.sqrt(vx * vy))).alias("spearman"))
 
 
-def correlate(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+def correlate(df: DataFrame, group: list[str], x: str, y: str, ranges: int | None = None) -> DataFrame:
     """``group, tau, p_tau, spearman, p_spearman, mae, n_samples`` over rows where both columns are there.
 
     A constant column leaves tau, rho and their p-values null; so do fewer than
-    two rows. Groups without any complete row are left out.
+    two rows. Groups without any complete row are left out. Sums run within ``ranges`` of values, as many as the table needs.
     """
     c = cells(df, group, x, y)
-    ranges = ranges_for(c.count())
+    ranges = ranges or ranges_for(c.count())
     n = F.sum("n").cast("double")
     base = c.groupBy(*group).agg(F.sum("n").alias("n_samples"), (F.sum(F.abs(F.col("x") - F.col("y")) * F.col("n")) / n).alias("mae"))
     tau = base.join(_tie_sums(c, group, "x"), group).join(_tie_sums(c, group, "y"), group).join(_concordance(c, group, ranges), group)

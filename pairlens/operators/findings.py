@@ -85,3 +85,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     lo, width = r["lo"], ((r["hi"] - r["lo"]) or 1.0) / bins
     b = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("int")
     return df.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n")).select("bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), "n")
+
+
+def first_values(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The ``n`` least distinct values of a column, nulls apart, in order."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(n)

@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-RANGES = 64
-#: Rows of one range, about, where a table has more than ``RANGES`` times so many.
-RANGE_ROWS = 500_000
+#: Rows of one range, about, and ranges at most.
+RANGE_ROWS = 250_000
 MOST_RANGES = 4096
 
 
 def ranges_for(rows: int) -> int:
     """Number of ranges that keeps each of them small, were all rows of one group."""
-    return max(RANGES, min(MOST_RANGES, rows // RANGE_ROWS))
+    return max(1, min(MOST_RANGES, -(-rows // RANGE_ROWS)))
 
 
-def with_ranges(df: DataFrame, group: list[str], x: str, ranges: int = RANGES) -> DataFrame:
+def with_ranges(df: DataFrame, group: list[str], x: str, ranges: int) -> DataFrame:
     """Adds ``_range``, a number that grows with ``x`` within each group: how many of the cuts are smaller, by bisection."""
+    if ranges == 1:
+        return df.withColumn("_range", F.lit(0))
     at = [i / ranges for i in range(1, ranges)]
     cuts = df.groupBy(*group).agg(F.percentile_approx(x, at, max(1000, 4 * ranges)).alias("_cuts"))
     steps = [1 << i for i in range(ranges.bit_length() - 1, -1, -1)]
@@ -32,15 +33,17 @@ def with_ranges(df: DataFrame, group: list[str], x: str, ranges: int = RANGES) -
     return df.join(cuts, group).withColumn("_range", found).drop("_cuts")
 
 
-def sum_below(df: DataFrame, group: list[str], x: str, value: str, out: str) -> DataFrame:
+def sum_below(df: DataFrame, group: list[str], x: str, value: str, out: str, ranges: int) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over rows of the group with a smaller ``x`` (0 if none). ``df`` has ``_range``."""
+    inside = Window.partitionBy(*group, "_range").orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy(*group, "_range").orderBy(x).rangeBetween(Window.currentRow, Window.currentRow)
+    here = F.sum(value).over(inside) - F.sum(value).over(same)
+    if ranges == 1:
+        return df.withColumn(out, here)
     totals = df.groupBy(*group, "_range").agg(F.sum(value).alias("_t"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    inside = Window.partitionBy(*group, "_range").orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*group, "_range", x)
-    joined = df.join(totals, [*group, "_range"])
-    return joined.withColumn(out, F.col("_base") + F.sum(value).over(inside) - F.sum(value).over(same)).drop("_base")
+    return df.join(totals, [*group, "_range"]).withColumn(out, F.col("_base") + here).drop("_base")
 
 
 def cells(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:

@@ -253,6 +253,11 @@ def done_files(spark: SparkSession, d: str) -> DataFrame:
     return f.where(F.col("file_name").endswith(".csv")).union(f.where(F.col("file_name").startswith("run_"))).distinct().orderBy("file_name")
 
 
+def first_studies(spark: SparkSession, d: str) -> DataFrame:
+    """The five first study ids, to look at."""
+    return findings.first_values(table(spark, d, "reports"), "study_id", 5)
+
+
 def _messages(df: DataFrame, key: str | list[str], m: Column) -> DataFrame:
     keys = [key] if isinstance(key, str) else key
     return df.select(*keys, m.alias("m")).select(*keys, F.col("m")[0]["content"].alias("system"), F.element_at("m", -1)["content"].alias("asked"))
@@ -376,7 +381,7 @@ QUERIES = {
         pair_score, entity_penalty, error_counts_a, error_counts_b, score_summary, score_histogram, allowed_entities, entity_overlap, missing_in_candidate, extra_in_candidate, merged_entities,
         dedup_keep_first, dedup_keep_last, significance_join, significance_status, rater_table_a, rater_avg, rater_table_b, compare_per_rater, compare_avg, compare_avg_p, compare_b, score_vs_counts,
         collated_long, collated_wide, token_norm, bleu1, text_metrics, greedy_cosine_f1, metric_corr_combined, resume_anti, json_sanitize, json_first_array, json_balanced, final_scores, sections,
-        taxonomy_pairs, model_routing, pipeline_rule_based, metric_corr_bleu1, scatter_points, collated_ordered, done_files, extract_prompts, compare_prompts, significance_prompts, section_prompts, judge_prompts,
+        taxonomy_pairs, model_routing, pipeline_rule_based, metric_corr_bleu1, scatter_points, collated_ordered, done_files, first_studies, extract_prompts, compare_prompts, significance_prompts, section_prompts, judge_prompts,
         section_stage, external_scores, judge_scores, judge_corr,
     )
 }
@@ -443,10 +448,6 @@ def _wide_sql() -> str:
  rb AS (SELECT *, {_totals_sql(COUNTS_B)} FROM (SELECT report_id AS study_id, {", ".join(out)} FROM sw GROUP BY 1) q)"""
 
 
-def _long_sql(joined: str, columns: list[str], a: str, b: str, extra: str = "") -> str:
-    return " UNION ALL ".join(f"SELECT {extra}'{c}' AS column_name, CAST({a}.{c} AS DOUBLE) AS x, CAST({b.format(c=c)} AS DOUBLE) AS y FROM {joined}" for c in columns)
-
-
 def _stats_sql(source: str, keys: list[str]) -> str:
     """CTEs over ``lp(keys, x, y)`` that end in ``stats``."""
     k = ", ".join(keys)
@@ -558,6 +559,7 @@ ORACLE = {
     "scatter_points": f"WITH {_FINDINGS}, {_OURS['a']}, {_RATERS}, {_AVG}, j AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(ours.{c} AS DOUBLE) AS ours, av.{c} AS rater FROM ours JOIN av USING (study_id, candidate_type)" for c in TOTALS) + "), l AS (SELECT column_name, least(min(ours), min(rater)) - 0.5 AS low, greatest(max(ours), max(rater)) + 0.5 AS high FROM j GROUP BY 1) SELECT column_name, ours, round(rater, 6) AS rater, count(*) AS n, low, high FROM j JOIN l USING (column_name) GROUP BY column_name, ours, rater, low, high",
     "collated_ordered": f"{_LONG} SELECT model, column_name, {_R3} FROM stats ORDER BY column_name, model",
     "done_files": "SELECT DISTINCT file_name FROM findings_raw WHERE file_name LIKE '%.csv' OR starts_with(file_name, 'run_') ORDER BY 1",
+    "first_studies": "SELECT DISTINCT study_id FROM reports WHERE study_id IS NOT NULL ORDER BY 1 LIMIT 5",
     "extract_prompts": f"SELECT report_row_id, replace({_text(prompts.EXTRACTION)}, '{{entity_list}}', (SELECT string_agg('- ' || entity_key, chr(10) ORDER BY ord) FROM taxonomy)) AS system, {_text(prompts.EXTRACT_FROM)} || ground_truth AS asked FROM reports WHERE ground_truth IS NOT NULL",
     "compare_prompts": f"""WITH {_SIDES}, l AS (SELECT study_id, candidate_reporter, '[' || chr(10) || '  ' || string_agg(CAST(to_json(entity) AS VARCHAR), ',' || chr(10) || '  ' ORDER BY pos NULLS FIRST, entity) || chr(10) || ']' AS l FROM ov GROUP BY 1, 2),
  tr AS (SELECT * FROM reports WHERE study_id IS NOT NULL AND candidate_reporter IS NOT NULL QUALIFY row_number() OVER (PARTITION BY study_id, candidate_reporter ORDER BY report_row_id) = 1)
