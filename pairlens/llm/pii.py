@@ -34,6 +34,8 @@ THRESHOLD = 0.5
 _L = r"[^\W\d_]"
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŽČ]"
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+%-]+ ?(?:@|[\[(] ?at ?[\])]) ?[\w-]+(?:\.[\w-]+| ?[\[(] ?dot ?[\])] ?[\w-]+)+", re.I)
+_AT = re.compile(r"[\[(] ?at ?[\])]", re.I)
+_DIGIT = re.compile(r"\d")  # no address or number is without
 # How telephone and identity numbers are written.
 _PHONES = (
     r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}",
@@ -158,13 +160,14 @@ def candidates(text: str, lex: Lexicon) -> list[Span]:
     spans: list[Span] = []
     taken: list[tuple[int, int]] = []
     free = lambda s, e: all(e <= a or s >= b for a, b in taken)
-    for m in _EMAIL.finditer(text):
+    digits_in = _DIGIT.search(text) is not None
+    for m in _EMAIL.finditer(text) if "@" in text or _AT.search(text) else ():
         b, a = _words_before(text, m.start()), _words_after(text, m.end())
         tail = m[0].lower().split(".")[-1]
         votes = f"1{'1' if '@' in m[0] or 'at' in m[0].lower() else '-'}{'1' if _cue(b, frozenset({'contact', 'to', 'cc', 'e-mail', 'email', 'mail'})) else '-'}-"
         spans.append(Span("email", m.start(), m.end(), votes, _features("email", text, m.start(), m.end(), b, a, [f"tail={tail[-8:]}", f"at={'@' in m[0]}"])))
         taken.append((m.start(), m.end()))
-    for m in _ADDRESS.finditer(text):
+    for m in _ADDRESS.finditer(text) if digits_in else ():
         if not free(m.start(), m.end()):
             continue
         b, a = _words_before(text, m.start()), _words_after(text, m.end())
@@ -175,7 +178,7 @@ def candidates(text: str, lex: Lexicon) -> list[Span]:
         votes = f"{'1' if m[0][:1].isdigit() or m[0][-1:].isdigit() else '-'}{'0' if plain else '1'}{'1' if _cue(b[-1:], ADDRESS_CUES) or b[-2:] == ['on', 'file'] else '0' if _cue(b[-1:], OTHER_CUES) else '-'}{'1' if town and town[0] else '-'}"
         spans.append(Span("address", m.start(), end, votes, _features("address", text, m.start(), end, b, a, [f"w={w}" for w in words] + [f"plain={len(plain)}", f"s={_shape(m[0])}"])))
         taken.append((m.start(), end))
-    for m in _NUMBER.finditer(text):
+    for m in _NUMBER.finditer(text) if digits_in else ():
         if not free(m.start(), m.end()):
             continue
         if m.start() and text[m.start() - 1] in "," and text[m.start() - 2 : m.start() - 1].isdigit():
@@ -212,11 +215,12 @@ def candidates(text: str, lex: Lexicon) -> list[Span]:
                 seen.add(run[0].start())
             run = [t] if good else []
     for m in _LOWER.finditer(text):
-        s, e = m.start(), m.end(2)
-        if m[1][0].isupper() or not free(s, e) or s in seen:
-            continue
-        known = m[1].lower() in lex.names and m[2].lower().split("-")[0] in lex.names
+        s, first = m.start(), m[1]
         told = text[max(0, s - 3) : s] in ("pt ", "w/ ") or text[max(0, s - 2) : s] == "/ "
+        named = first.lower() in lex.names
+        if not (told or named) or first[0].isupper() or s in seen or not free(s, e := m.end(2)):
+            continue
+        known = named and m[2].lower().split("-")[0] in lex.names
         if known or told and (m[1] in lex.names or m[1] not in lex.ordinary and m[2].split("-")[0] not in lex.ordinary):
             spans += _name(text, s, e, lex, told)
     return spans
