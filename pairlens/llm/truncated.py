@@ -265,7 +265,8 @@ def score_truncation(df: DataFrame, key: str, text: str, source: str, structured
                 ys += y or [0]
             yield pa.RecordBatch.from_pydict({"h": pa.array(hs, pa.int64()), "x": pa.array(xs, pa.list_(pa.int32())), "y": pa.array(ys, pa.int8())})
 
-    known = spread(sample).mapInArrow(learn, "h long, x array<int>, y byte").toArrow().combine_chunks()  # at most ``train_rows`` texts
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    known = sample.repartition(cores).mapInArrow(learn, "h long, x array<int>, y byte").toArrow().combine_chunks()  # at most ``train_rows`` texts
     if total and not len(known):
         raise RuntimeError("no row was sampled for fitting")
     known = known.filter(pc.greater(pc.list_value_length(known["x"]), 0)).combine_chunks()
